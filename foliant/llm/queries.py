@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.bpe import encode_corpus, token_counts
+from foliant.llm.language import detect_languages, fit_models, label_sample, missing_or_wrong
 from foliant.llm.mixture import counted_documents, mixture, mixture_report, source_rates
 from foliant.shared import Workspace
 from foliant.tables import table
@@ -34,8 +35,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_report(*_mixture(spark, d))
 
 
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return detect_languages(docs, fit_models(label_sample(docs)))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return missing_or_wrong(p9_languages(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p7_token_counts, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
