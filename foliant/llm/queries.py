@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm.bpe import encode_corpus, token_counts
 from foliant.llm.language import detect_languages, fit_models, label_sample, missing_or_wrong
 from foliant.llm.mixture import counted_documents, mixture, mixture_report, source_rates
+from foliant.llm.splitting import oversized_scenes, split_texts
 from foliant.shared import Workspace
 from foliant.tables import table
 
 
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    scenes = oversized_scenes(table(spark, d, "scenes"), table(spark, d, "chapters"))
+    return split_texts(scenes, "scene_id", "text", "start_offset")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pieces(spark, d).where("piece_no = 1").select("scene_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -45,7 +55,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
+    return {f.__name__: f for f in (p6_pieces, p6_found, p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
