@@ -5,15 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.bpe import encode_corpus, token_counts
 from foliant.llm.language import detect_languages, fit_models, label_sample, missing_or_wrong
 from foliant.llm.mixture import counted_documents, mixture, mixture_report, source_rates
+from foliant.llm.overlap import overlap_report, split_overlaps
 from foliant.llm.splitting import oversized_scenes, split_texts
 from foliant.shared import Workspace
 from foliant.tables import table
 
 
+def _evaluation_records(spark: SparkSession, d: str) -> DataFrame:
+    names = ("entity_resolution_v1", "entity_extraction_model_eval_v3")
+    first, second = (table(spark, d, n).select("id", "split", F.lit(n).alias("source"), "text") for n in names)
+    return first.unionByName(second)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, _ = split_overlaps(_evaluation_records(spark, d))
+    return pairs.select(F.least("eval_id", "train_id").alias("left_id"), F.greatest("eval_id", "train_id").alias("right_id"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_report(*split_overlaps(_evaluation_records(spark, d)))
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     scenes = oversized_scenes(table(spark, d, "scenes"), table(spark, d, "chapters"))
     return split_texts(scenes, "scene_id", "text", "start_offset")
@@ -55,7 +72,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_pieces, p6_found, p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
+    return {f.__name__: f for f in (p5_found, p5_report, p6_pieces, p6_found, p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
