@@ -11,6 +11,7 @@ from foliant.llm.bpe import encode_corpus, token_counts
 from foliant.llm.components import merged_groups
 from foliant.llm.language import detect_languages, fit_models, label_sample, missing_or_wrong
 from foliant.llm.mixture import counted_documents, mixture, mixture_report, source_rates
+from foliant.llm.names import linked_entities, linked_pairs, review_names
 from foliant.llm.overlap import overlap_report, split_overlaps
 from foliant.llm.splitting import oversized_scenes, split_texts
 from foliant.shared import Workspace
@@ -21,6 +22,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return merged_groups(table(spark, d, "entity_resolution_candidates"), table(spark, d, "entity_mentions"))
 
 
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    names = review_names(table(spark, d, "entities"), table(spark, d, "entity_aliases"), table(spark, d, "entity_mentions"))
+    forms = [tuple(r) for r in table(spark, d, "name_forms").select("given_name", "short_form").collect()]  # fixed table
+    return linked_entities(names, forms)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_pairs(p4_clusters(spark, d))
+
+
 def _evaluation_records(spark: SparkSession, d: str) -> DataFrame:
     names = ("entity_resolution_v1", "entity_extraction_model_eval_v3")
     first, second = (table(spark, d, n).select("id", "split", F.lit(n).alias("source"), "text") for n in names)
@@ -77,7 +88,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p5_found, p5_report, p6_pieces, p6_found, p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_clusters, p5_found, p5_report, p6_pieces, p6_found, p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
