@@ -68,9 +68,10 @@ def w4_runs(spark, d):
     return _numbered(spark, d).select("doc_id", "line_no", "value", "island", "n", ((F.col("n") >= 3) & (F.col("low") == 1)).alias("heading"))
 
 
-@_c.query(f"{_RUNS} SELECT doc_id, line_no, value FROM run WHERE n >= 3 AND low = 1")
+@_c.query(f"{_RUNS} SELECT doc_id, count(*)::BIGINT AS candidates, count(DISTINCT island)::BIGINT AS runs, count(*) FILTER (n >= 3 AND low = 1)::BIGINT AS headings FROM run GROUP BY doc_id")
 def st_p2_numbered_headings(spark, d):
-    return _numbered(spark, d).where("n >= 3 and low = 1").select("doc_id", "line_no", "value")
+    taken = F.count_if((F.col("n") >= 3) & (F.col("low") == 1)).alias("headings")
+    return _numbered(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("island").alias("runs"), taken)
 
 
 @_c.query(f"""WITH {_LINES}, k AS (SELECT *, {_KIND} AS kind FROM line WHERE line <> ''),
