@@ -9,6 +9,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns of tokens, headings and breaks, one line at a time.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0d\x1c-\x20\p{Z}\x{85}]"
@@ -184,14 +185,14 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_name(names: pd.Series) -> pd.Series:
     """NFKC, case folded, runs of letters and digits of any script joined by single blanks."""
     words = re.compile(r"[^\W_]+").findall
     return names.map(lambda n: None if n is None else " ".join(words(unicodedata.normalize("NFKC", n).casefold())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def uuid5_reference(names: pd.Series, spaces: pd.Series) -> pd.Series:
     """The standard library's UUIDs, to hold ``uuid5`` against."""
     return pd.Series([str(uuid.uuid5(uuid.UUID(s), n)) for n, s in zip(names, spaces)])
