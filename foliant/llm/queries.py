@@ -14,6 +14,7 @@ from foliant.llm.mixture import counted_documents, mixture, mixture_report, sour
 from foliant.llm.names import linked_entities, linked_pairs, review_names
 from foliant.llm.overlap import overlap_report, split_overlaps
 from foliant.llm.splitting import oversized_scenes, split_texts
+from foliant.llm.sql import SQL
 from foliant.shared import Workspace
 from foliant.tables import table
 
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
