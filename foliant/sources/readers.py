@@ -27,7 +27,10 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, name, kind, length, content)`` of all files below a folder."""
+    """``(path, name, kind, length, content)`` of all files below a folder.
+
+    Spark's file source leaves out files without bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("kind"), "length", "content")
@@ -35,7 +38,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def inspected(files: DataFrame, limit: int = UPLOAD_LIMIT, content_type: str | None = None) -> DataFrame:
     """Files with ``content_hash`` and ``refused``: the first reason against a file, null if there is none."""
-    refused = F.when(~F.col("kind").isin(*KINDS), "unsupported_type")
+    refused = F.when(~F.coalesce("kind", F.lit("")).isin(*KINDS), "unsupported_type")
     if content_type:
         allowed = F.lit(False)
         for kind, types in KINDS.items():
