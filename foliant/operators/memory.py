@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import uuid5
-from foliant.operators.relational import latest
+from foliant.operators.relational import few_of_each, latest
 
 # The controlled vocabulary.
 FACT_TYPES = {"attribute", "state", "possession", "location", "role", "affiliation", "world_rule"}
@@ -212,7 +212,7 @@ def chunk_inputs(chunks: DataFrame, mentions: DataFrame, roots: DataFrame, entit
     surfaces of all mentions under a root other than its name, sorted, at most ``MOST_ALIASES``.
     """
     placed = mentions.join(roots, "entity_id").select("chunk_id", "root_id", "surface_text")
-    said = placed.groupBy("root_id").agg(F.array_sort(F.collect_set("surface_text")).alias("said"))
+    said = few_of_each(placed, ["root_id"], "surface_text", MOST_ALIASES + 1, "said")  # one may be the name itself
     heads = entities.select(F.col("entity_id").alias("root_id"), "name", "type").join(said, "root_id")
     other = F.slice(F.array_remove("said", F.coalesce("name", F.lit(""))), 1, MOST_ALIASES)
     refs = heads.select("root_id", F.struct(F.col("root_id").alias("id"), F.coalesce("name", F.element_at("said", 1)).alias("name"), "type", other.alias("aliases")).alias("ref"))

@@ -26,6 +26,22 @@ def numbered(df: DataFrame, *order, space: Workspace | None = None, name: str =
     return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, at).drop("__part", "__id", "__start")
 
 
+def numbered_within(df: DataFrame, groups: list[str], order: list, space: Workspace | None = None, name: str = "ordinal") -> DataFrame:
+    """``df`` with a position from 0 inside each group; a group of any size spreads over many tasks.
+
+    Null is a group of its own.
+    """
+    space = space or Workspace(df.sparkSession, "numbered")
+    whole = space.keep(numbered(df, *groups, *order, space=space, name="__at"))
+    starts = whole.groupBy(*(F.col(g).alias(f"__{g}") for g in groups)).agg(F.min("__at").alias("__first"))
+    same = None
+    for g in groups:
+        part = F.col(g).eqNullSafe(F.col(f"__{g}"))
+        same = part if same is None else same & part
+    joined = whole.join(starts, same)
+    return joined.withColumn(name, F.col("__at") - F.col("__first")).drop("__at", "__first", *(f"__{g}" for g in groups))
+
+
 def shard(df: DataFrame, count: int, index: int, *order) -> DataFrame:
     """Every ``count``-th row in order, from ``index`` on."""
     if not 0 <= index < count:
@@ -68,10 +84,21 @@ def latest(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def nearest_rank(value: str, share: float) -> Column:
-    """Aggregate: the value at index ``(n - 1) * share`` rounded half to even."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, (F.rint((F.size(ordered) - 1) * F.lit(share)) + 1).cast("int"))
+def nearest_rank(df: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """``(group, value)``: per group the value at index ``(n - 1) * share`` rounded half to even, nulls left out."""
+    rows = numbered_within(df.where(F.col(value).isNotNull()).select(group, value), [group], [value])
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.rint((F.count(F.lit(1)) - 1) * F.lit(share)).cast("long").alias("__at"))
+    return rows.join(sizes, F.col(group).eqNullSafe(F.col("__g")) & (F.col("ordinal") == F.col("__at"))).select(group, value)
+
+
+def few_of_each(df: DataFrame, groups: list[str], value: str, most: int, joined: str) -> DataFrame:
+    """``(groups…, joined)``: the first ``most`` distinct values of each group in order, as an array.
+
+    Values beyond are dropped before they are collected.
+    """
+    w = Window.partitionBy(*groups).orderBy(value)
+    kept = df.select(*groups, value).distinct().withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    return kept.groupBy(*groups).agg(F.array_sort(F.collect_list(value)).alias(joined))
 
 
 def precision_recall(tp: Column, predicted: Column, expected: Column, empty: str) -> list[Column]:

@@ -153,12 +153,15 @@ def applied_in_order(decisions: DataFrame, entities: DataFrame) -> DataFrame:
     ``decisions``: ``(version_id, position, candidate_id, decision, left_entity_id, right_entity_id)``; ``entities``:
     ``(version_id, entity_id, canonical_name, merged_into_id)``.  Gives ``(version_id, candidate_id, position,
     outcome, survivor_id, retired_id)`` with outcome merged, linked (already one), separated or conflict.  The longer
-    name survives, then the smaller id.  The order of a version's decisions is the meaning of this operator, so a
-    version is one task; its decisions and entities are those of one manuscript.
+    name survives, then the smaller id.  The order of decisions is the meaning of this operator, but only among those
+    that concern the same entities: decisions and links are parted into components, and each component is one group.
     """
+    space = Workspace(decisions.sparkSession, "order")
+    links = decisions.select(F.col("left_entity_id").alias("src"), F.col("right_entity_id").alias("dst")).unionByName(entities.select(F.col("entity_id").alias("src"), F.col("merged_into_id").alias("dst")))
+    labels = space.keep(star_components(links, space))
     out = "version_id string, candidate_id string, position bigint, outcome string, survivor_id string, retired_id string"
 
-    def apply(key: tuple, said: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def apply(said: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         parent = {e: (p if isinstance(p, str) else None) for e, p in zip(known["entity_id"], known["merged_into_id"])}
         names = {e: n or "" for e, n in zip(known["entity_id"], known["canonical_name"])}
 
@@ -188,10 +191,13 @@ def applied_in_order(decisions: DataFrame, entities: DataFrame) -> DataFrame:
                         survivor, retired = sorted((a, b), key=lambda e: (-len(names[e]), e))
                         parent[retired] = survivor
                         outcome = "merged"
-            rows.append((key[0], r.candidate_id, r.position, outcome, survivor, retired))
+            rows.append((r.version_id, r.candidate_id, r.position, outcome, survivor, retired))
         return pd.DataFrame(rows, columns=["version_id", "candidate_id", "position", "outcome", "survivor_id", "retired_id"])
 
-    return decisions.groupBy("version_id").cogroup(entities.groupBy("version_id")).applyInPandas(apply, out)
+    own = lambda df, key: df.join(labels.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    asked = own(decisions, "left_entity_id").groupBy("version_id", "component")
+    known = own(entities, "entity_id").groupBy("version_id", "component")
+    return asked.cogroup(known).applyInPandas(apply, out)
 
 
 def state_of(entities: DataFrame, *ids: str) -> Column:

@@ -171,10 +171,10 @@ def q8_facts(spark, d):
   row_number() OVER (PARTITION BY pr.version_id ORDER BY ordinal NULLS LAST, o NULLS LAST, pr.id)::INTEGER AS place FROM pr JOIN place p USING (chunk_id) JOIN ch ON ch.chapter_id = p.chapter_id""")
 def q9_events(spark, d):
     rows = pairs(spark, d).join(places(spark, d), "chunk_id").join(chapters(spark, d).select("chapter_id", "ordinal"), "chapter_id")
-    order = Window.partitionBy("version_id").orderBy(F.col("ordinal").asc_nulls_last(), F.col("o").asc_nulls_last(), "id")
-    return rows.select("version_id", F.col("id").alias("event_id"), F.array_join(F.array_sort(F.array("s1", "s2")), ", ").alias("participants"),
-                       F.when(F.col("t1").isin("location", "gpe", "facility"), F.col("s1")).alias("location"), F.concat(F.lit("Chapter "), F.col("ordinal").cast("string")).alias("chapter"),
-                       F.row_number().over(order).alias("place"))
+    found = L.numbered_within(rows, ["version_id"], [F.col("ordinal").asc_nulls_last(), F.col("o").asc_nulls_last(), "id"], name="place")
+    return found.select("version_id", F.col("id").alias("event_id"), F.array_join(F.array_sort(F.array("s1", "s2")), ", ").alias("participants"),
+                        F.when(F.col("t1").isin("location", "gpe", "facility"), F.col("s1")).alias("location"), F.concat(F.lit("Chapter "), F.col("ordinal").cast("string")).alias("chapter"),
+                        (F.col("place") + 1).cast("int").alias("place"))
 
 
 @_c.query(f"""WITH {_PAIRS}, e AS (SELECT id, arg_max(coalesce(canonical_name, 'Unknown entity'), updated_at) AS name FROM entities GROUP BY id)

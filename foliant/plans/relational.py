@@ -245,8 +245,8 @@ def j15_bounded_containment(spark, d):
 
 @_c.query(f"WITH {_MN} SELECT chunk_id, array_to_string(list_sort(list(DISTINCT entity_id))[1:50], ',') AS entities FROM mn WHERE entity_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1")
 def j17_refs_per_chunk(spark, d):
-    rows = mentions(spark, d).where("entity_id is not null and chunk_id is not null").groupBy("chunk_id")
-    return rows.agg(F.array_join(F.slice(F.array_sort(F.collect_set("entity_id")), 1, 50), ",").alias("entities"))
+    rows = mentions(spark, d).where("entity_id is not null and chunk_id is not null")
+    return L.few_of_each(rows, ["chunk_id"], "entity_id", 50, "ids").select("chunk_id", F.array_join("ids", ",").alias("entities"))
 
 
 @_c.query(f"WITH {_V}, {_CH} SELECT chapter_id FROM ch WHERE version_id IN (SELECT id FROM v WHERE version_number <= 2)")
@@ -289,7 +289,7 @@ def a6a_percentile(spark, d):
 
 @_c.query("SELECT event_type, round(list_sort(list(value))[round_even((count(*) - 1) * 0.95, 0)::INTEGER + 1], 6) AS p95 FROM events GROUP BY 1")
 def a6b_nearest_rank(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(L.nearest_rank("value", 0.95), 6).alias("p95"))
+    return L.nearest_rank(table(spark, d, "events"), "event_type", "value", 0.95).select("event_type", F.round("value", 6).alias("p95"))
 
 
 @_c.query("SELECT event_type, k, sum(v)::BIGINT AS total FROM (SELECT event_type, 'k' AS k, (props->>'k')::INTEGER AS v FROM events) WHERE v >= 0 GROUP BY 1, 2")
@@ -306,14 +306,15 @@ def a14_duplicate_keys(spark, d):
 
 @_c.query("SELECT entity_id, array_to_string(list_sort(list(DISTINCT alias))[1:50], '|') AS aliases FROM entity_aliases WHERE alias IS NOT NULL GROUP BY 1")
 def a15_grouped_sets(spark, d):
-    return table(spark, d, "entity_aliases").where("alias is not null").groupBy("entity_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("alias")), 1, 50), "|").alias("aliases"))
+    rows = table(spark, d, "entity_aliases").where("alias is not null")
+    return L.few_of_each(rows, ["entity_id"], "alias", 50, "names").select("entity_id", F.array_join("names", "|").alias("aliases"))
 
 
-@_c.query(f"WITH {_MN}, {_CH} SELECT entity_id, string_agg(ordinal || ':' || start_offset, ',' ORDER BY ordinal, start_offset, mn.id) AS places FROM mn JOIN ch USING (chapter_id) WHERE entity_id IS NOT NULL GROUP BY 1")
+@_c.query(f"WITH {_MN}, {_CH} SELECT entity_id, mn.id, row_number() OVER (PARTITION BY entity_id ORDER BY ordinal, start_offset, mn.id) - 1 AS position FROM mn JOIN ch USING (chapter_id) WHERE entity_id IS NOT NULL")
 def a16_ordered_evidence(spark, d):
     rows = mentions(spark, d).where("entity_id is not null").join(chapters(spark, d).select("chapter_id", "ordinal"), "chapter_id")
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "start_offset", "id")))
-    return rows.groupBy("entity_id").agg(F.array_join(F.transform(ordered, lambda r: F.concat_ws(":", r["ordinal"].cast("string"), r["start_offset"].cast("string"))), ",").alias("places"))
+    found = L.numbered_within(rows.select("entity_id", "ordinal", "start_offset", "id"), ["entity_id"], ["ordinal", "start_offset", "id"], name="position")
+    return found.select("entity_id", "id", "position")
 
 
 @_c.query(f"""WITH {_MN} SELECT version_id, entity_type, lower(surface_text) AS key, id AS first_id FROM mn
@@ -336,10 +337,13 @@ def a19_stage_durations(spark, d):
     return whole.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("stages"))
 
 
-@_c.query("SELECT manuscript_version_id AS version_id, left(sha256(string_agg(DISTINCT id || ':' || entity_type, '|' ORDER BY id || ':' || entity_type)), 16) AS state FROM entities GROUP BY 1")
+@_c.query("""SELECT v AS version_id, left(sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 8))::BIGINT) || '|' || sum(('0x' || substr(h, 9, 8))::BIGINT)), 16) AS state
+FROM (SELECT DISTINCT manuscript_version_id AS v, sha256(id || ':' || entity_type) AS h FROM entities) GROUP BY v""")
 def a20_state_hash(spark, d):
-    rows = table(spark, d, "entities").select(F.col("manuscript_version_id").alias("version_id"), F.concat_ws(":", "id", "entity_type").alias("k"))
-    return rows.groupBy("version_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("k")), "|"), 256), 1, 16).alias("state"))
+    rows = table(spark, d, "entities").select(F.col("manuscript_version_id").alias("version_id"), F.sha2(F.concat_ws(":", "id", "entity_type"), 256).alias("h")).distinct()
+    part = lambda a: F.sum(F.conv(F.substring("h", a, 8), 16, 10).cast("long")).cast("string")
+    joined = F.concat_ws("|", F.count(F.lit(1)).cast("string"), part(1), part(9))
+    return rows.groupBy("version_id").agg(F.substring(F.sha2(joined, 256), 1, 16).alias("state"))
 
 
 @_c.query(f"WITH {_QRELS} SELECT (SELECT count(*) FROM k)::BIGINT AS chunks, (SELECT count(*) FROM hit)::BIGINT AS qrels, (SELECT count(*) FROM (SELECT 1 FROM hit GROUP BY chapter_id, surface_text HAVING count(*) > 1))::BIGINT AS several")
@@ -387,14 +391,16 @@ def t6_nulls_last(spark, d):
   ORDER BY ordinal NULLS LAST, CASE WHEN scene_id IS NOT NULL THEN start_offset END NULLS LAST, mn.id)::INTEGER AS place FROM mn LEFT JOIN ch USING (chapter_id)""")
 def t7_narrative_order(spark, d):
     rows = mentions(spark, d).join(chapters(spark, d).select("chapter_id", "ordinal"), "chapter_id", "left")
-    order = Window.partitionBy("version_id").orderBy(F.col("ordinal").asc_nulls_last(), F.when(F.col("scene_id").isNotNull(), F.col("start_offset")).asc_nulls_last(), "id")
-    return rows.select("version_id", "id", F.row_number().over(order).alias("place"))
+    place = rows.select("version_id", "id", "ordinal", F.when(F.col("scene_id").isNotNull(), F.col("start_offset")).alias("at"))
+    found = L.numbered_within(place, ["version_id"], [F.col("ordinal").asc_nulls_last(), F.col("at").asc_nulls_last(), "id"], name="place")
+    return found.select("version_id", "id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @_c.query("WITH e AS (SELECT id, max(manuscript_version_id) AS v, max(canonical_name) AS name FROM entities GROUP BY id) SELECT v AS version_id, id, row_number() OVER (PARTITION BY v ORDER BY lower(name) NULLS FIRST, id)::INTEGER AS place FROM e")
 def t8_entity_list(spark, d):
     rows = table(spark, d, "entities").groupBy("id").agg(F.max("manuscript_version_id").alias("version_id"), F.max("canonical_name").alias("name"))
-    return rows.select("version_id", "id", F.row_number().over(Window.partitionBy("version_id").orderBy(F.lower("name").asc_nulls_first(), "id")).alias("place"))
+    found = L.numbered_within(rows.withColumn("key", F.lower("name")), ["version_id"], [F.col("key").asc_nulls_first(), "id"], name="place")
+    return found.select("version_id", "id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @_c.query(f"WITH {_MN} SELECT entity_id, id FROM mn WHERE entity_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY chapter_id, start_offset, id) <= 20")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.operators.relational import numbered_within
 from foliant.operators.structure import Chunking, chunk_statistics, structured
 from foliant.plans.registry import Catalogue
 from foliant.plans.scalars import _LINES, document_lines
@@ -140,8 +141,8 @@ def a22_chunk_statistics(spark, d):
 FROM (SELECT DISTINCT id, manuscript_version_id, ordinal, start_offset FROM chunks)""")
 def w7_dense_ordinal(spark, d):
     rows = table(spark, d, "chunks").select("id", "manuscript_version_id", "ordinal", "start_offset").distinct()
-    order = Window.partitionBy("manuscript_version_id").orderBy("ordinal", "start_offset", "id")
-    return rows.select("id", "manuscript_version_id", F.row_number().over(order).alias("dense_ordinal"))
+    found = numbered_within(rows, ["manuscript_version_id"], ["ordinal", "start_offset", "id"], name="n")
+    return found.select("id", "manuscript_version_id", (F.col("n") + 1).cast("int").alias("dense_ordinal"))
 
 
 _MENTION = "SELECT DISTINCT id, manuscript_version_id AS v, chapter_id, entity_type, start_offset FROM entity_mentions"

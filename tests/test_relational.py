@@ -35,8 +35,20 @@ def test_lookups(spark):
 
 
 def test_nearest_rank(spark):
-    df = frame(spark, "g int, v double", [(1, float(i)) for i in range(10)] + [(2, 5.0)] + [(3, float(i)) for i in range(6)])
-    assert rows(df.groupBy("g").agg(L.nearest_rank("v", 0.5).alias("v"))) == [(1, 4.0), (2, 5.0), (3, 2.0)]
+    df = frame(spark, "g int, v double", [(1, float(i)) for i in range(10)] + [(2, 5.0), (2, None)] + [(3, float(i)) for i in range(6)] + [(None, 7.0)])
+    assert rows(L.nearest_rank(df, "g", "v", 0.5)) == [(None, 7.0), (1, 4.0), (2, 5.0), (3, 2.0)]
+
+
+def test_positions_within_groups(spark):
+    df = frame(spark, "g string, k int", [("a", i) for i in range(50)] + [(None, 3), (None, 1), ("b", 9)]).repartition(5)
+    found = {(r.g, r.k): r.ordinal for r in L.numbered_within(df, ["g"], ["k"]).collect()}
+    assert found == {("a", i): i for i in range(50)} | {(None, 1): 0, (None, 3): 1, ("b", 9): 0}
+    assert L.numbered_within(df.limit(0), ["g"], ["k"]).count() == 0
+
+
+def test_few_of_each(spark):
+    df = frame(spark, "g string, v string", [("a", x) for x in "dcbaab"] + [("b", "z")])
+    assert [(r.g, r.vs) for r in L.few_of_each(df, ["g"], "v", 3, "vs").orderBy("g").collect()] == [("a", ["a", "b", "c"]), ("b", ["z"])]
 
 
 @pytest.mark.parametrize("empty,expected", [("agree", (1.0, 1.0, 1.0)), ("zero", (0.0, 0.0, 0.0)), ("null", (None, None, 0.0))])
