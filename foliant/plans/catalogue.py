@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Each module has ``queries()`` and ``oracle_sql()``.
-MODULES = ("changes_and_trees", "scalars", "retrieval", "structuring", "resolution", "relational", "memory", "reads", "evaluation", "incremental")
+MODULES = ("changes_and_trees", "scalars", "retrieval", "structuring", "resolution", "relational", "memory", "reads", "evaluation", "incremental", "storage")
 
 
 def _merged(what: str) -> dict:
