@@ -3,15 +3,18 @@
 Exact overlaps are an equi-join on the hash of the canonical text.  Near overlaps differ in at most one word in
 seven, so they are found without loss by the pigeonhole rule on the same hashes: an evaluation text of n words that
 is within d word edits of a training text keeps at least one of any d + 1 disjoint segments intact.  Its segments'
-hashes join the training texts' window hashes of the same lengths; the join condition drops pairs whose positions,
+hashes join the training texts' window hashes of the same lengths, for each length that the training text may have;
+the join condition drops pairs whose positions,
 lengths or word sketches already need more than d edits, and a word-level edit distance decides the rest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +42,47 @@ def allowed(n: int, m: int) -> int:
     return max(n, m) // ONE_WORD_IN
 
 
-def segments(n: int) -> list[tuple[int, int]]:
-    """Disjoint even segments (start, length) of n words, one more than the edits any partner may need."""
-    longest = n + n // (ONE_WORD_IN - 1)  # a longer partner would need more insertions than it allows
-    k = min(longest // ONE_WORD_IN + 1, n)
+def length_bucket(m: int) -> int:
+    """Buckets of text lengths, each a sixth of what one word in seven allows wide; short lengths have their own."""
+    return int(math.log(m) * ONE_WORD_IN * 6)
+
+
+@lru_cache(maxsize=100_000)
+def longest_in_bucket(bucket: int) -> int:
+    m = int(math.exp((bucket + 1) / (ONE_WORD_IN * 6))) + 2
+    while length_bucket(m) > bucket:
+        m -= 1
+    return m
+
+
+def reach_of(n: int) -> tuple[int, int]:
+    """The shortest and the longest partner of a text of n words."""
+    return -(-n * (ONE_WORD_IN - 1) // ONE_WORD_IN), n + n // (ONE_WORD_IN - 1)
+
+
+def segments(n: int, bucket: int) -> list[tuple[int, int]]:
+    """Disjoint even segments (start, length) of n words, one more than the edits that a partner of the bucket may need."""
+    longest = min(longest_in_bucket(bucket), reach_of(n)[1])
+    k = min(allowed(n, longest) + 1, n)
     return [(i * n // k, (i + 1) * n // k - i * n // k) for i in range(k)]
 
 
-def partner_lengths(m: int) -> set[int]:
-    """Segment lengths of all texts that a text of m words may be within reach of."""
-    low = -(-m * (ONE_WORD_IN - 1) // ONE_WORD_IN)
-    high = m + m // (ONE_WORD_IN - 1)
-    return {length for n in range(max(low, 1), high + 1) for _, length in segments(n)}
+@lru_cache(maxsize=100_000)
+def partner_buckets(n: int) -> tuple[int, ...]:
+    low, high = reach_of(n)
+    return tuple(range(length_bucket(max(low, 1)), length_bucket(high) + 1))
+
+
+@lru_cache(maxsize=100_000)
+def partner_lengths(m: int) -> tuple[int, ...]:
+    """Lengths of the segments by which texts may look for a text of m words."""
+    low, high = reach_of(m)
+    bucket = length_bucket(m)
+    found: set[int] = set()
+    for n in range(max(low, 1), high + 1):
+        k = min(allowed(n, min(longest_in_bucket(bucket), reach_of(n)[1])) + 1, n)
+        found |= {n // k, -(-n // k)}
+    return tuple(sorted(x for x in found if x <= m))
 
 
 def word_distance(a: list[str], b: list[str]) -> int:
@@ -128,28 +160,59 @@ def _sketch(h: np.ndarray) -> tuple[int, int]:
     return int(packed[0]), int(packed[1])
 
 
+_SPREAD = 0x9FB21C651E98DF25
+
+
+def _keyed(gram: np.ndarray, offset: np.ndarray | np.uint64) -> np.ndarray:
+    """Hashes of words mixed with the offsets of their buckets."""
+    mixed = gram + offset
+    mixed ^= mixed >> np.uint64(32)
+    return mixed * np.uint64(0x94D049BB133111EB)
+
+
+def _offset(bucket: int) -> np.uint64:
+    return np.uint64(bucket * _SPREAD & 0xFFFFFFFFFFFFFFFF)
+
+
+@lru_cache(maxsize=2_000)
+def _search_plan(n: int) -> tuple[tuple[int, np.ndarray, np.ndarray], ...]:
+    """For texts of n words, by segment length: where segments of all buckets begin, and the buckets' offsets."""
+    found: dict[int, tuple[list[int], list[np.uint64]]] = {}
+    for bucket in partner_buckets(n):
+        for a, length in segments(n, bucket):
+            at, offsets = found.setdefault(length, ([], []))
+            at.append(a)
+            offsets.append(_offset(bucket))
+    return tuple((length, np.array(at, np.int32), np.array(offsets, np.uint64)) for length, (at, offsets) in sorted(found.items()))
+
+
 def grams(classes: DataFrame, side: str) -> DataFrame:
-    """``(gram, key, pos, n, s0, s1)``: segments of evaluation texts, or the windows that such segments can match."""
+    """``(gram, key, pos, n, s0, s1)``: segments of evaluation texts, or the windows that such segments can match.
+
+    ``gram`` hashes the words together with the bucket of the training text's length, so that a phrase that very many
+    texts have is spread over as many keys as they have lengths.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        lengths_of: dict[int, list[int]] = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
                 gram, pos, row, size, s0, s1 = [], [], [], [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     h = _hashed(text.split(" "), memo)
-                    n = len(h)
+                    n, before = len(h), len(gram)
                     if side == "segments":
-                        found = [(_windows(h[a : a + length], length), np.array([a], np.int32)) for a, length in segments(n)]
+                        for length, at, offsets in _search_plan(n):
+                            gram.append(_keyed(_windows(h, length)[at], offsets))
+                            pos.append(at)
                     else:
-                        if n not in lengths_of:
-                            lengths_of[n] = sorted(x for x in partner_lengths(n) if x <= n)
-                        found = [(w := _windows(h, length), np.arange(len(w), dtype=np.int32)) for length in lengths_of[n]]
-                    gram += [g for g, _ in found]
-                    pos += [p for _, p in found]
-                    row.append(sum(len(g) for g, _ in found))
+                        offset = _offset(length_bucket(n))
+                        for length in partner_lengths(n):
+                            w = _windows(h, length)
+                            gram.append(_keyed(w, offset))
+                            pos.append(np.arange(len(w), dtype=np.int32))
+                    row.append(sum(map(len, gram[before:])))
                     size.append(n)
                     a, b = _sketch(h)
                     s0.append(a)

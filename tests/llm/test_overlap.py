@@ -31,12 +31,17 @@ def test_word_distance_against_dynamic_programme():
 
 
 def test_segments_are_disjoint_and_enough():
-    for n in range(1, 400):
-        s = O.segments(n)
-        assert all(a + length <= b for (a, length), (b, _) in zip(s, s[1:])) and s[0][0] == 0 and sum(x for _, x in s) == n and min(x for _, x in s) >= 1
-        for m in range(n, n + n // 6 + 1):
+    for n in [*range(1, 260), 1000, 4999]:
+        low, high = O.reach_of(n)
+        for m in {max(low, 1), low + 1, n - 1, n, n + 1, high - 1, high}:
+            if m < 1 or abs(n - m) > O.allowed(n, m):
+                continue
+            bucket = O.length_bucket(m)
+            assert bucket in O.partner_buckets(n) and O.length_bucket(O.longest_in_bucket(bucket)) == bucket >= O.length_bucket(m)
+            s = O.segments(n, bucket)
+            assert all(a + length <= b for (a, length), (b, _) in zip(s, s[1:])) and s[0][0] == 0 and sum(x for _, x in s) == n and min(x for _, x in s) >= 1
             assert len(s) > O.allowed(n, m) or len(s) == n
-            assert {x for _, x in s} <= O.partner_lengths(m)
+            assert {x for _, x in s if x <= m} <= set(O.partner_lengths(m))
 
 
 def test_states(spark):
