@@ -49,7 +49,7 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, k1: flo
     counted per document; equal queries are ranked once.  Null and empty texts and queries match nothing.
     """
     check_top_k(k)
-    sizes = documents.select("id", F.coalesce(F.size(words("text")), F.lit(0)).alias("dl"))
+    sizes = documents.select("id", F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORD)), F.lit(0)).alias("dl"))
     totals = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     within = [scope] if scope else []
     distinct = queries.where("query is not null").select("query", *within, words("query").alias("w")).distinct()

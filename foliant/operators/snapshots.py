@@ -21,6 +21,7 @@ from foliant.shared import Workspace, is_empty
 BUCKET_RECORDS = 1024  # records of both snapshots in a bucket, on average
 FIRST_CELLS = 8  # cells of each of the three parts of a table in the first round
 GROWTH = 4
+MOST_TURNS = 9  # by then a bucket has hundreds of cells for every record it can hold
 FINISHED = ("ready", "archived")
 
 _M = (1 << 64) - 1
@@ -122,7 +123,8 @@ def snapshot_changes(records: DataFrame, pairs: DataFrame, space: Workspace) ->
 
     ``records``: ``(snapshot, key BIGINT, value BIGINT)``, one row per key of a snapshot, ``value`` a digest of its
     content; ``pairs``: ``(pair, earlier, later)``, snapshots by name, ``earlier`` may lack records.  Null keys are
-    left out.  A digest of 64 bits makes two contents equal by chance once in 2^64 comparisons.
+    left out.  A digest of 64 bits makes two contents equal by chance once in 2^64 comparisons.  A key that stands
+    twice in a snapshot with one value would cancel itself out and is an error.
     """
     kept = space.keep(records.where("key is not null and value is not null"))
     sizes = kept.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"))
@@ -141,6 +143,8 @@ def snapshot_changes(records: DataFrame, pairs: DataFrame, space: Workspace) ->
         failed = found.where("change_kind = 'failed'").select("pair", "bucket")
         if is_empty(failed):
             return done
+        if turn == MOST_TURNS:
+            raise ValueError("a snapshot holds a record twice")
         left, cells, turn = signed.join(failed, ["pair", "bucket"], "left_semi"), cells * GROWTH, turn + 1
 
 

@@ -32,17 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return standin
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder if the session still runs."""
+    context = spark.sparkContext
+    try:
+        if context._jsc is not None:
+            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session is ending; what stays is only space
+        return
+
+
 class Workspace:
     """Written intermediate tables of one operator call.
 
     ``keep`` writes a frame and returns the frame that reads it.  ``drop`` removes a table that no later plan
-    reads; loops call it for the round before last, so at most two rounds are on disk.
+    reads; loops call it for the round before last, so at most two rounds are on disk.  What is left goes when the
+    driver's process ends, since frames that were returned read it until then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        atexit.register(_delete, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._count}"
@@ -55,8 +68,7 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_foliant_path", None)
         if path:
-            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(self.spark, path)
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -73,3 +73,10 @@ def test_a_table_that_cannot_be_peeled_is_refused():
     assert S.peel({0: [2, 5, 7, 9]}, 0, 4, 0) is None
     assert S.peel({}, 3, 4, 0) is None
     assert S.peel({}, 0, 4, 0) == []
+
+
+def test_a_record_twice_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_TURNS", 1)
+    records = frame(spark, "snapshot string, key long, value long", [("new", 1, 5), ("new", 1, 5), ("new", 2, 6), ("old", 2, 6)])
+    with pytest.raises(ValueError, match="twice"):
+        S.snapshot_changes(records, frame(spark, "pair string, earlier string, later string", [("x", "old", "new")]), Workspace(spark, "t"))
