@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators.relational import numbered_within
-from foliant.operators.structure import Chunking, chunk_statistics, structured
+from foliant.operators.structure import Chunking, chunk_statistics, publish, structured
 from foliant.plans.registry import Catalogue
 from foliant.plans.scalars import _LINES, document_lines
+from foliant.refs import normal_word
+from foliant.shared import Workspace
 from foliant.tables import table
 
 _c = Catalogue()
@@ -132,6 +134,17 @@ def st_p7_metadata(spark, d):
     )
 
 
+@_c.query()
+def st_p8_published(spark, d):
+    """Published by source, published again, and read back: the second run replaces the first."""
+    root = Workspace(spark, "p8").root
+    docs = table(spark, d, "documents").withColumn("version", F.coalesce(normal_word("source"), F.lit("none")))
+    parts = structured(docs, "doc_id", "text", "file_kind").join(docs.select("doc_id", "version"), "doc_id").where("level <> 'error'")
+    for _ in range(2):
+        publish(parts, root, "version")
+    return spark.read.parquet(f"{root}/chunks").groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_c.query()
 def a22_chunk_statistics(spark, d):
     return chunk_statistics(_parts(spark, d), "doc_id", Chunking().most)
