@@ -39,7 +39,7 @@ COMMON_WEIGHT = 0.4  # of a common token's n-grams beside those of a rare one
 TAIL_NORM = 0.2  # a vector keeps its leading n-grams until what is left has a smaller norm
 MIN_COSINE = 0.12  # of names, for a pair to be checked
 MIN_LINK = 0.5  # average similarity of two clusters that still merge
-LARGEST_COMPONENT = 4000  # entities that one task clusters; larger ones are parted by a higher threshold first
+LARGEST_COMPONENT = 4000  # nodes that one task clusters at once; larger components are merged in rounds of groups of so many
 
 _token = re.compile(r"[^\W_]+").findall
 
@@ -303,10 +303,11 @@ def similar_names(distinct: DataFrame, forms: dict[str, frozenset[str]], space:
     return both.select("a", "b", "kind", "x", "y").mapInArrow(check, "a bigint, b bigint, sim double")
 
 
-def average_linkage(weights: dict[int, int], sims: dict[tuple[int, int], float], least: float) -> dict[int, int]:
+def average_linkage(weights: dict[int, int], sims: dict[tuple[int, int], float], least: float, fixed: frozenset[int] = frozenset()) -> dict[int, int]:
     """Clusters of weighted nodes: the two with the highest average similarity merge while it is ``least`` or more.
 
     Pairs without an entry have similarity 0.  Ties go to the smallest ids, so the result does not depend on order.
+    Nodes in ``fixed`` merge elsewhere: they stay as they are, and so does every cluster from when its best partner is one that stays.
     """
     size = dict(weights)
     near: dict[int, dict[int, float]] = {n: {} for n in weights}
@@ -315,12 +316,16 @@ def average_linkage(weights: dict[int, int], sims: dict[tuple[int, int], float],
         near[a][b] = near[b][a] = s * size[a] * size[b]
         heapq.heappush(heap, (-s, min(a, b), max(a, b)))
     into = {n: n for n in weights}
+    stays = set(fixed)
     while heap:
         s, a, b = heapq.heappop(heap)
         if -s < least:
             break
         if into[a] != a or into[b] != b or b not in near[a] or abs(near[a][b] / (size[a] * size[b]) + s) > 1e-12:
             continue
+        if a in stays or b in stays:
+            stays |= {a, b}
+            continue
         into[b] = a
         for c, total in near.pop(b).items():
             near[c].pop(b)
@@ -339,29 +344,34 @@ def average_linkage(weights: dict[int, int], sims: dict[tuple[int, int], float],
 
 
 def _linker(least: float):
-    """Clusters every component of rows ``(component, src, dst, value)`` that come sorted by component.
+    """Clusters every group of rows ``(part, src, dst, value, beside)`` that come sorted by group.
 
-    Rows without ``dst`` are nodes with their weights, the others edges with their similarities.
+    Rows without ``dst`` are nodes with their weights, the others edges with their similarities and, where ``dst`` may
+    be in another group, its weight; such nodes stay fixed.  Edges to other nodes outside the group are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, weights, sims = None, {}, {}
+        now, weights, sims, beside = None, {}, {}, {}
         nodes, clusters = [], []
 
         def close() -> None:
-            found = average_linkage(weights, sims, least)
-            nodes.extend(found)
-            clusters.extend(found.values())
+            ends = beside | weights
+            inside = {pair: s for pair, s in sims.items() if pair[0] in ends and pair[1] in ends}
+            found = average_linkage(ends, inside, least, frozenset(beside.keys() - weights.keys()))
+            nodes.extend(weights)
+            clusters.extend(map(found.get, weights))
 
         for batch in batches:
-            for component, src, dst, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if component != now:
+            for part, src, dst, value, other in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if part != now:
                     close()
-                    now, weights, sims = component, {}, {}
+                    now, weights, sims, beside = part, {}, {}, {}
                 if dst is None:
                     weights[src] = int(value)
                 else:
                     sims[min(src, dst), max(src, dst)] = value
+                    if other is not None:
+                        beside[dst] = other
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(clusters, pa.int64())], names=["node", "cluster"])
             nodes.clear()
             clusters.clear()
@@ -371,33 +381,59 @@ def _linker(least: float):
     return run
 
 
+def _linked(nodes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """``(node, cluster)`` of ``nodes``, ``(part, node, weight)``, by their ``edges``, ``(part, src, dst, sim, beside)``."""
+    none = F.lit(None).cast("long")
+    body = nodes.select("part", F.col("node").alias("src"), none.alias("dst"), F.col("weight").cast("double").alias("value"), none.alias("beside"))
+    body = body.unionByName(edges.select("part", "src", "dst", F.col("sim").alias("value"), "beside"))
+    return body.repartition("part").sortWithinPartitions("part").mapInArrow(_linker(least), "node bigint, cluster bigint")
+
+
 def _clusters(nodes: DataFrame, edges: DataFrame, space: Workspace, least: float) -> DataFrame:
-    """``(node, cluster)`` of every node with an edge.  ``nodes``: ``(node, weight)``; ``edges``: ``(src, dst, sim)``."""
-    done: DataFrame | None = None
-    cut = least
-    left = edges
-    while True:
-        parts = space.keep(connected_components(left.select("src", "dst"), space))
-        sizes = Window.partitionBy("component")
-        inside = parts.withColumn("members", F.count(F.lit(1)).over(sizes))
-        label = parts.toDF("src", "component")
-        fit = inside.where(F.col("members") <= LARGEST_COMPONENT).select("node", "component")
-        loose = left.join(inside.where(F.col("members") <= LARGEST_COMPONENT).select(F.col("node").alias("src"), "component"), "src")
-        body = fit.join(nodes, "node").select("component", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("weight").cast("double").alias("value"))
-        body = body.unionByName(loose.select("component", "src", "dst", F.col("sim").alias("value")))
-
-        here = body.repartition("component").sortWithinPartitions("component").mapInArrow(_linker(least), "node bigint, cluster bigint")
-        done = here if done is None else done.unionByName(here)
-        large = inside.where(F.col("members") > LARGEST_COMPONENT)
-        if is_empty(large):
-            return done
-        cut += 0.1
-        if cut > 1.0:  # all names alike: one cluster each
-            return done.unionByName(large.select("node", F.col("component").alias("cluster")))
-        apart = left.join(label.join(large.select(F.col("node").alias("src")), "src", "left_semi").select("src"), "src", "left_semi").where(F.col("sim") >= cut)
-        lone = large.join(apart.select("src").union(apart.select("dst")).toDF("node"), "node", "left_anti")
-        done = done.unionByName(lone.select("node", F.col("node").alias("cluster")))
-        left = space.keep(apart)
+    """``(node, cluster)`` of every node with an edge of ``least`` or more.  ``nodes``: ``(node, weight)``; ``edges``: ``(src, dst, sim)``.
+
+    No average over links below ``least`` reaches it, so components of the other links are clustered apart, each with
+    all links between its nodes.  In those too large for one task a round merges what has to merge whatever happens
+    elsewhere, and the merged clusters are nodes of the next round.
+    """
+    parts = space.keep(connected_components(edges.where(F.col("sim") >= least).select("src", "dst"), space))
+    sized = parts.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("component")))
+    fit = sized.where(F.col("members") <= LARGEST_COMPONENT).select("node", F.col("component").alias("part"))
+    loose = edges.join(fit.withColumnRenamed("node", "src"), "src").withColumn("beside", F.lit(None).cast("long"))
+    done = _linked(fit.join(nodes, "node"), loose, least)
+    large = sized.where(F.col("members") > LARGEST_COMPONENT).select("node", "component")
+    if is_empty(large):
+        return done
+    large = space.keep(large)
+    weights = space.keep(nodes.join(large, "node").select("node", "weight"))
+    links = edges.join(large.toDF("src", "component"), "src").join(large.toDF("dst", "other"), "dst").where("component = other").select("src", "dst", "sim")
+    links = space.keep(links)
+    moved = space.keep(_merged(weights, links, space, least))
+    whole = moved.join(weights, "node").withColumn("whole", F.sum("weight").over(Window.partitionBy("cluster")))
+    whole = space.keep(whole.select("node", "cluster", "weight", "whole"))
+    met = links.join(whole.toDF("src", "a", "v", "whole_a"), "src").join(whole.toDF("dst", "b", "w", "whole_b"), "dst").where("a <> b")
+    total = F.sum(F.col("sim") * F.col("v") * F.col("w")) / F.first(F.col("whole_a").cast("double") * F.col("whole_b"))
+    links = space.keep(met.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(total.alias("sim")))
+    later = _clusters(whole.select(F.col("cluster").alias("node"), F.col("whole").alias("weight")).distinct(), links, space, least)
+    return done.unionByName(moved.join(later.toDF("cluster", "then"), "cluster", "left").select("node", F.coalesce("then", "cluster").alias("cluster")))
+
+
+def _merged(weights: DataFrame, links: DataFrame, space: Workspace, least: float) -> DataFrame:
+    """``(node, cluster)`` after one round of the merges of the average linkage in large components; every component makes one at least.
+
+    A merged cluster is never nearer to a third than the nearer of its two parts, so two clusters that are each
+    other's best merge sooner or later, whatever else merges first.  Nodes come in groups along the links to their best
+    partners, best first, and a group merges such pairs until all that are left wait for other groups.
+    """
+    ends = space.keep(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim")))
+    rank = F.struct((-F.col("sim")).alias("s"), F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
+    best = space.keep(ends.where(F.col("sim") >= least).groupBy(F.col("src").alias("node")).agg(F.min(rank).alias("e")))
+    trees = connected_components(best.select(F.col("e.x").alias("src"), F.col("e.y").alias("dst")), space)
+    place = F.row_number().over(Window.partitionBy("component").orderBy("e", "node")) - 1
+    groups = best.join(trees, "node").select("node", F.xxhash64("component", F.floor(place / LARGEST_COMPONENT)).alias("part"))
+    groups = space.keep(groups.join(weights, "node"))
+    beside = ends.join(groups.select(F.col("node").alias("src"), "part"), "src").join(weights.toDF("dst", "beside"), "dst")
+    return _linked(groups, beside, least)
 
 
 def linked_entities(names: DataFrame, forms: list[tuple[str, str]], min_cosine: float = MIN_COSINE, least: float = MIN_LINK) -> DataFrame:

@@ -96,6 +96,20 @@ def test_average_linkage():
     assert N.average_linkage({1: 1}, {}, 0.5) == {1: 1}
 
 
+@pytest.mark.parametrize("seed,values", [(1, None), (3, (0.4, 0.54, 0.6, 0.825, 0.875, 0.9, 1.0))])
+def test_large_components_are_clustered_like_small_ones(spark, monkeypatch, seed, values):
+    """The plain average linkage over all nodes at once; the components are larger than what a task takes."""
+    monkeypatch.setattr(N, "LARGEST_COMPONENT", 10)
+    rng = random.Random(seed)
+    weights = {i * 7 % 30 - 10: rng.choice((1, 1, 2, 5)) for i in range(30)}
+    groups = {n: rng.randrange(2) for n in weights}
+    sims = {(a, b): rng.choice(values) if values else rng.random() for a, b in itertools.combinations(sorted(weights), 2) if rng.random() < (0.5 if groups[a] == groups[b] else 0.05)}
+    nodes = frame(spark, "node long, weight long", list(weights.items()))
+    edges = frame(spark, "src long, dst long, sim double", [(b, a, s) if rng.random() < 0.5 else (a, b, s) for (a, b), s in sims.items()])
+    found = {n: n for n in weights} | {r.node: r.cluster for r in N._clusters(nodes, edges, Workspace(spark, "t"), 0.5).collect()}
+    assert found == N.average_linkage(weights, sims, 0.5)
+
+
 def test_only_entities_under_review(spark):
     entities = frame(spark, "id string, manuscript_version_id string, entity_type string, canonical_name string, status string, updated_at timestamp, name string", [
         ("a", "v", "character", "William Thornbridge", "active", at(0), ""), ("a", "v", "character", None, "needs_review", at(1), ""), ("b", "V ", "character", "Bill Thornbridge", "needs_review", at(0), ""),
