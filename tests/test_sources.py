@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.operators.structure import parse_blocks
+from foliant.plans import storage
 from foliant.sources import readers as R
 from foliant.sources import sinks as W
 from foliant.streaming import incremental as I
@@ -150,3 +151,9 @@ def test_fences(spark):
     done = []
     assert I.publish_if_unchanged(lambda: done.append(1), "s", lambda: "s") and not I.publish_if_unchanged(lambda: done.append(2), "s", lambda: "t")
     assert done == [1] and I.stop_all(spark, "none") == 0
+
+
+def test_all_documents_are_read_after_the_header(spark, tmp_path):
+    docs = frame(spark, "doc_id long, title string", [(i, None if i == 3 else f"t{i}") for i in range(5)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(storage.queries()["s6_all_rows_after_header"](spark, str(tmp_path)).orderBy("doc_id")) == rows(docs.orderBy("doc_id"))
