@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people.
 
 Names become sparse vectors of character bigrams and trigrams, weighted by inverse document frequency over all names.
-Those of common tokens (given names, kinds of organizations, initials) weigh less, and the commonest n-grams of a name
-are cut.  A join on the n-grams within a block adds up the cosines and keeps all pairs from the threshold on.  A check
+Those of common tokens (given names, kinds of organizations, initials) weigh less.  A join within a block on the n-grams
+before a tail too small to reach the threshold finds all pairs that can, and the full vectors' cosine decides.  A check
 of the tokens follows (typos, initials, short forms, abbreviations, order), and entities are grouped by average-linkage
 clustering of the best similarities of their names.
 """
@@ -36,7 +36,6 @@ BUCKETS = 1 << 16  # n-grams are hashed to so many: a fixed bound of the weight
 COMMON_SHARE = 0.002  # a token in more of all names than this is common: there are at most a few thousand of them
 COMMON_LEAST = 20  # and in at least so many names
 COMMON_WEIGHT = 0.4  # of a common token's n-grams beside those of a rare one
-TAIL_NORM = 0.2  # a vector keeps its leading n-grams until what is left has a smaller norm
 MIN_COSINE = 0.12  # of names, for a pair to be checked
 MIN_LINK = 0.5  # average similarity of two clusters that still merge
 LARGEST_COMPONENT = 4000  # nodes that one task clusters at once; larger components are merged in rounds of groups of so many
@@ -192,17 +191,29 @@ def gram_buckets(tokens: tuple[str, ...], forms: dict[str, frozenset[str]], comm
 
 
 def weighted(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A name's vector: features, rare tokens' and rare n-grams first, and their parts of the unit vector.
-
-    The tail of the commonest n-grams, of less than ``TAIL_NORM`` in all, is cut: it tells nothing, and almost every name has it.
-    """
+    """A name's vector: features, rare tokens' and rare n-grams first, and their parts of the unit vector."""
     keys = np.fromiter(counts, np.int64, len(counts))
     values = np.fromiter(counts.values(), np.float64, len(counts)) * idf[keys] * np.where(keys < BUCKETS, 1.0, COMMON_WEIGHT)
     order = np.lexsort((keys, -idf[keys], keys >= BUCKETS))
     keys, values = keys[order], values[order]
-    values = values / (np.sqrt((values**2).sum()) or 1.0)
-    kept = int((np.sqrt(np.cumsum((values**2)[::-1]))[::-1] >= TAIL_NORM).sum())
-    return keys[:kept], values[:kept]
+    return keys, values / (np.sqrt((values**2).sum()) or 1.0)
+
+
+def leading(values: np.ndarray, least: float) -> tuple[int, float]:
+    """How many leading parts of a unit vector leave a tail of a norm below ``least``, and that norm.
+
+    Of two vectors in one order of features, those that are not among the leading parts of both are in the tail of one
+    of them: the cosine is at most that of the leading parts and the larger tail's norm, and without a common leading
+    feature it is below ``least``.
+    """
+    tails = np.append(np.sqrt(np.cumsum((values**2)[::-1]))[::-1], 0.0)
+    kept = int((tails >= least).sum())
+    return kept, float(tails[kept])
+
+
+def cosine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return float(a[1][i] @ b[1][j])
 
 
 def canonical_names(names: DataFrame) -> DataFrame:
@@ -269,38 +280,54 @@ def similar_names(distinct: DataFrame, forms: dict[str, frozenset[str]], space:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, forms, common = shared.value
         for batch in batches:
-            row, gram, part = [], [], []
+            row, gram, part, tail = [], [], [], []
             for i, canon in enumerate(batch.column(2).to_pylist()):
                 keys, values = weighted(gram_buckets(tuple(canon.split(" ")), forms, common), idf)
-                gram.append(keys)
-                part.append(values)
-                row.append(np.full(len(keys), i, np.int32))
+                kept, rest = leading(values, min_cosine)
+                gram.append(keys[:kept])
+                part.append(values[:kept])
+                row.append(np.full(kept, i, np.int32))
+                tail.append(np.full(kept, rest, np.float32))
             take = pa.array(np.concatenate(row) if row else np.zeros(0, np.int32))
             grams = np.concatenate(gram).astype(np.int64) if gram else np.zeros(0, np.int64)
             block = batch.column(1).to_numpy()[take.to_numpy()]
             key = (block * np.int64(BUCKETS * 2 + 1)) ^ grams  # a few blocks may share a key: the block is compared below
             parts = np.concatenate(part).astype(np.float32) if part else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(key), pa.array(parts)], names=["id", "key", "part"])
+            tails = np.concatenate(tail) if tail else np.zeros(0, np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(key), pa.array(parts), pa.array(tails)], names=["id", "key", "part", "tail"])
 
     block = F.xxhash64("block").alias("block")
-    rows = distinct.select("name_id", block, "canon").mapInArrow(vectors, "id bigint, key bigint, part float")
-    met = rows.toDF("a", "key", "p").join(rows.toDF("b", "key", "q"), "key").where("a < b")
-    pairs = met.groupBy("a", "b").agg(F.sum(F.col("p").cast("double") * F.col("q")).alias("cosine")).where(F.col("cosine") >= min_cosine).select("a", "b")
+    rows = distinct.select("name_id", block, "canon").mapInArrow(vectors, "id bigint, key bigint, part float, tail float")
+    met = rows.toDF("a", "key", "p", "s").join(rows.toDF("b", "key", "q", "t"), "key").where("a < b")
+    found = met.groupBy("a", "b").agg(F.sum(F.col("p").cast("double") * F.col("q")).alias("reached"), F.max(F.greatest("s", "t")).alias("tail"))
+    pairs = found.where(F.col("reached") + F.col("tail") >= min_cosine - 1e-5).select("a", "b", "reached")
     text = distinct.select("name_id", block, "kind", "canon")
     first = pairs.join(text.toDF("a", "block", "kind", "x"), "a")
     both = first.join(text.select(F.col("name_id").alias("b"), F.col("block").alias("other"), F.col("canon").alias("y")), "b").where("block = other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = shared.value[1]
+        idf, forms, common = shared.value
         memo: dict[tuple[str, str, bool], float] = {}
+        full: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def vector(canon: str) -> tuple[np.ndarray, np.ndarray]:
+            if canon not in full:
+                full[canon] = weighted(gram_buckets(tuple(canon.split(" ")), forms, common), idf)
+            return full[canon]
+
         for batch in batches:
             if len(memo) > 500_000:
                 memo.clear()
+            if len(full) > 20_000:
+                full.clear()
             sims = [likeness(tuple(x.split(" ")), tuple(y.split(" ")), forms, kind == "organization", memo) for kind, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            for i in np.flatnonzero((np.array(sims) > 0) & (batch.column(5).to_numpy() < min_cosine + 1e-5)).tolist():  # what the tails add decides
+                if cosine(vector(batch.column(3)[i].as_py()), vector(batch.column(4)[i].as_py())) < min_cosine:
+                    sims[i] = 0.0
             done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
             yield done.filter(pa.array([s > 0 for s in sims], pa.bool_()))
 
-    return both.select("a", "b", "kind", "x", "y").mapInArrow(check, "a bigint, b bigint, sim double")
+    return both.select("a", "b", "kind", "x", "y", "reached").mapInArrow(check, "a bigint, b bigint, sim double")
 
 
 def average_linkage(weights: dict[int, int], sims: dict[tuple[int, int], float], least: float, fixed: frozenset[int] = frozenset()) -> dict[int, int]:

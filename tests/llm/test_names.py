@@ -89,6 +89,29 @@ def test_cosine_join_against_all_pairs(spark):
         assert len(found) == len(set(found)) and {p for p in found if p[0] < 1000} == expected and all((a < 1000) == (b < 1000) for a, b in found)
 
 
+def test_cosine_join_with_uncut_vectors(spark):
+    """Pairs whose cosine comes in part from the commonest n-grams are found too."""
+    rng = random.Random(5)
+    parts = ["thorn", "bridge", "fallow", "mere", "stone", "castle", "mill", "bank"]
+    names = sorted({f"{rng.choice(('sarah', 'anna'))} {rng.choice(parts)}{rng.choice(parts)}" for _ in range(60)} | {"k sarah", "a anna"})
+    counted = frame(spark, "name_id long, block string, kind string, canon string", [(i, "v", "character", n) for i, n in enumerate(names)])
+    forms = {"sarah": frozenset({"sarah"}), "anna": frozenset({"anna"})}
+    common = N.common_tokens(counted, forms)
+    idf = N._document_frequencies(counted, forms, common)
+    vectors = []
+    for n in names:
+        counts = N.gram_buckets(tuple(n.split()), forms, common)
+        raw = {g: c * idf[g] * (1.0 if g < N.BUCKETS else N.COMMON_WEIGHT) for g, c in counts.items()}
+        norm = sum(v * v for v in raw.values()) ** 0.5
+        vectors.append({g: v / norm for g, v in raw.items()})
+    expected = set()
+    for i, j in itertools.combinations(range(len(names)), 2):
+        value = sum(v * vectors[j].get(g, 0.0) for g, v in vectors[i].items())
+        if value >= N.MIN_COSINE and N.likeness(tuple(names[i].split()), tuple(names[j].split()), forms, False) > 0:
+            expected.add((i, j))
+    assert {(r.a, r.b) for r in N.similar_names(counted, forms, Workspace(spark, "t")).collect()} == expected
+
+
 def test_average_linkage():
     assert N.average_linkage({1: 1, 2: 1, 3: 1}, {(1, 2): 0.9, (2, 3): 0.8}, 0.5) == {1: 1, 2: 1, 3: 3}
     assert N.average_linkage({1: 1, 2: 1, 3: 1}, {(1, 2): 0.9, (2, 3): 0.8, (1, 3): 0.4}, 0.5) == {1: 1, 2: 1, 3: 1}
