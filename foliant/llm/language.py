@@ -36,7 +36,7 @@ NOTATIONS = {
 SAMPLE_DOCS = 240
 SAMPLE_CHARS = (300, 6000)
 
-LONGEST_WORD = 30  # longer runs of letters are no words
+LONGEST_WORD = 30  # longer runs of letters are scored whole and weigh like so many letters; they are neither memoised nor fitted
 MEMO_WORDS = 200_000
 #: A paragraph in another language than the document: words it must have, and nats of evidence per fitted temperature.
 FOREIGN_WORDS = 5
@@ -76,20 +76,23 @@ class Scorer:
 
     def sums(self, parts: list[list[str]]) -> np.ndarray:
         """Per part: summed log-probabilities, letters, and as last column the number of words that count."""
-        if len(self.index) > MEMO_WORDS:
+        if len(self.scores) > MEMO_WORDS:
             self.index, self.scores = {}, self.scores[:0]
         index = self.index
         flat = [w for part in parts for w in part]
         at = list(map(index.get, flat))
         if None in at:
             new = list(dict.fromkeys(w for w, i in zip(flat, at) if i is None))
-            fresh = np.zeros((len(new), self.scores.shape[1]), np.float32)
-            usable = [i for i, w in enumerate(new) if len(w) <= LONGEST_WORD]
-            if usable:
-                fresh[usable] = self.models.score([new[i] for i in usable])
-            index.update(zip(new, range(len(index), len(index) + len(new))))
+            index.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
+            fresh = self.models.score(new)
+            for i, w in enumerate(new):
+                if len(w) > LONGEST_WORD:  # a mean over all its letters; while models are fitted it does not count
+                    fresh[i] *= LONGEST_WORD / len(w) if self.models.ceiling is not None else 0
             self.scores = np.concatenate([self.scores, fresh])
             at = list(map(index.get, flat))
+            for w in new:
+                if len(w) > LONGEST_WORD:
+                    del index[w]
         out = np.zeros((len(parts), self.scores.shape[1] + 1))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         full = np.flatnonzero(sizes)

@@ -88,6 +88,17 @@ def test_documents(spark, models):
     assert found.where("segment > 0 and confidence < 0.9").count() == 0
 
 
+def test_long_words_count(models):
+    scorer = L.Scorer(models)
+    for lang in ("de", "fr", "nl"):
+        run = "".join(WORDS[lang].split()[3:12])
+        assert len(run) > L.LONGEST_WORD
+        for _ in range(2):
+            found = L.judge_document(scorer, scorer.sums([L.words(f"{run} {run}")]))
+            assert found and models.langs[found[0]] == lang
+        assert run not in scorer.index
+
+
 def test_empty(spark, models):
     _, found = detected(spark, models, [])
     assert found.collect() == []
