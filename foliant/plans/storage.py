@@ -30,8 +30,7 @@ def _files(spark, d):
 
 @_c.query("SELECT concat_ws('.', doc_id::VARCHAR, file_kind) AS path, sha256(ltrim(text, chr(65279))) AS digest FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, chr(65279) || chr(65279))")
 def s1_decoded(spark, d):
-    twice = F.concat(F.lit("\ufeff"), F.lit("\ufeff"))
-    rows = R.decoded(_files(spark, d)).where(F.col("error").isNull()).where(~F.col("text").startswith(twice))
+    rows = R.decoded(_files(spark, d)).where(F.col("error").isNull())
     return rows.select("path", F.sha2("text", 256).alias("digest"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 
@@ -157,3 +158,10 @@ def test_all_documents_are_read_after_the_header(spark, tmp_path):
     docs = frame(spark, "doc_id long, title string", [(i, None if i == 3 else f"t{i}") for i in range(5)])
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert rows(storage.queries()["s6_all_rows_after_header"](spark, str(tmp_path)).orderBy("doc_id")) == rows(docs.orderBy("doc_id"))
+
+
+def test_documents_with_several_marks_are_decoded(spark, tmp_path):
+    given = [(i, "txt", "\ufeff" * i + "a") for i in range(5)]
+    frame(spark, "doc_id long, file_kind string, text string", given).write.parquet(str(tmp_path / "documents.parquet"))
+    expected = sorted((f"{i}.txt", hashlib.sha256(t.removeprefix("\ufeff").encode()).hexdigest()) for i, _, t in given)
+    assert sorted(map(tuple, storage.queries()["s1_decoded"](spark, str(tmp_path)).collect())) == expected
