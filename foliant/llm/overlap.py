@@ -1,16 +1,15 @@
 """Records of evaluation splits that stand, exactly or nearly, in a training split.
 
 Exact overlaps are an equi-join on the hash of the canonical text.  Near overlaps differ in at most one word in
-seven, so they are found without loss by the pigeonhole rule on the same hashes: an evaluation text of n words that
-is within d word edits of a training text keeps at least one of any d + 1 disjoint segments intact.  Its segments'
-hashes join the training texts' window hashes of the same lengths, for each length that the training text may have;
-the join condition drops pairs whose positions,
-lengths or word sketches already need more than d edits, and a word-level edit distance decides the rest.
+seven.  They come from the same kind of join, on hashes of three successive words: a text's edits destroy at most
+three of those each, so of two texts in reach the rarest ones of either, one more than can be destroyed, must meet in
+one that stands unharmed in both.  Which are rare is counted over all texts in a table of fixed size, and any table gives
+the same pairs.  The join condition drops pairs whose positions, lengths or word sketches already need more edits, and
+a word-level edit distance decides the rest.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -31,6 +30,10 @@ _apostrophes = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 _words = re.compile(r"[^\W_]+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
+GRAM = 3  # words
+COUNTERS = 1 << 18  # hashed counts of grams: a fixed size, sent to every task
+_SLICE = 1 << 14
+
 
 def canonical_words(text: str) -> list[str]:
     """Words without case, compatibility forms, punctuation and spacing; apostrophes inside a word join it."""
@@ -42,47 +45,21 @@ def allowed(n: int, m: int) -> int:
     return max(n, m) // ONE_WORD_IN
 
 
-def length_bucket(m: int) -> int:
-    """Buckets of text lengths, each a sixth of what one word in seven allows wide; short lengths have their own."""
-    return int(math.log(m) * ONE_WORD_IN * 6)
-
-
-@lru_cache(maxsize=100_000)
-def longest_in_bucket(bucket: int) -> int:
-    m = int(math.exp((bucket + 1) / (ONE_WORD_IN * 6))) + 2
-    while length_bucket(m) > bucket:
-        m -= 1
-    return m
-
-
 def reach_of(n: int) -> tuple[int, int]:
     """The shortest and the longest partner of a text of n words."""
     return -(-n * (ONE_WORD_IN - 1) // ONE_WORD_IN), n + n // (ONE_WORD_IN - 1)
 
 
-def segments(n: int, bucket: int) -> list[tuple[int, int]]:
-    """Disjoint even segments (start, length) of n words, one more than the edits that a partner of the bucket may need."""
-    longest = min(longest_in_bucket(bucket), reach_of(n)[1])
-    k = min(allowed(n, longest) + 1, n)
-    return [(i * n // k, (i + 1) * n // k - i * n // k) for i in range(k)]
-
-
 @lru_cache(maxsize=100_000)
-def partner_buckets(n: int) -> tuple[int, ...]:
+def needed(n: int) -> int:
+    """How many of its rarest grams a text of n words must show so that one of them stands unharmed in any partner; 0 if it has none."""
     low, high = reach_of(n)
-    return tuple(range(length_bucket(max(low, 1)), length_bucket(high) + 1))
-
-
-@lru_cache(maxsize=100_000)
-def partner_lengths(m: int) -> tuple[int, ...]:
-    """Lengths of the segments by which texts may look for a text of m words."""
-    low, high = reach_of(m)
-    bucket = length_bucket(m)
-    found: set[int] = set()
-    for n in range(max(low, 1), high + 1):
-        k = min(allowed(n, min(longest_in_bucket(bucket), reach_of(n)[1])) + 1, n)
-        found |= {n // k, -(-n // k)}
-    return tuple(sorted(x for x in found if x <= m))
+    harmed = 0
+    for m in {low, high, *(ONE_WORD_IN * k for k in range(-(-max(low, n) // ONE_WORD_IN), high // ONE_WORD_IN + 1)), n}:
+        d = allowed(n, m)
+        if abs(m - n) <= d:  # a word that only the partner has lies between two words, so it harms one gram fewer
+            harmed = max(harmed, GRAM * d - max(m - n, 0))
+    return min(harmed + 1, n - GRAM + 1) if harmed else 0
 
 
 def word_distance(a: list[str], b: list[str]) -> int:
@@ -114,20 +91,20 @@ def word_distance(a: list[str], b: list[str]) -> int:
 
 
 def canonical(records: DataFrame) -> DataFrame:
-    """``(id, split, source, key, words)`` of every record with words; ``key`` hashes the canonical text."""
+    """``(id, split, source, key, words)`` of every record with words; ``key`` is a 128-bit hash of the canonical text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = [" ".join(canonical_words(t)) if t else "" for t in batch.column(3).to_pylist()]
-            keys = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in joined]
+            keys = [xxhash.xxh3_128_digest(t) for t in joined]
             out = pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.int64()), pa.array(joined, pa.string())],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.binary()), pa.array(joined, pa.string())],
                 names=["id", "split", "source", "key", "words"],
             )
             yield out.filter(pa.array([bool(t) for t in joined], pa.bool_()))
 
     return records.select("id", "split", "source", "text").where("text is not null and id is not null").mapInArrow(
-        run, "id string, split string, source string, key bigint, words string"
+        run, "id string, split string, source string, key binary, words string"
     )
 
 
@@ -143,106 +120,109 @@ def _hashed(words: list[str], memo: dict[str, int]) -> np.ndarray:
     return out
 
 
-def _windows(h: np.ndarray, length: int) -> np.ndarray:
-    """Polynomial hash of every window of ``length`` words, mixed with the length."""
-    n = len(h) - length + 1
-    acc = np.full(max(n, 0), length, np.uint64)
-    for k in range(length if n > 0 else 0):
+def _grams(h: np.ndarray) -> np.ndarray:
+    """Hashes of all ``GRAM`` successive words."""
+    n = max(len(h) - GRAM + 1, 0)
+    acc = np.zeros(n, np.uint64)
+    for k in range(GRAM if n else 0):
         acc = acc * _BASE + h[k : k + n]
     acc ^= acc >> np.uint64(29)
-    return acc * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _sketch(h: np.ndarray) -> tuple[int, int]:
-    """Parity of the words that fall on each of 128 bits: one edit changes at most two."""
-    bits = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-    packed = np.packbits(bits.astype(np.uint8)).view(">i8")
-    return int(packed[0]), int(packed[1])
-
+    acc *= np.uint64(0xBF58476D1CE4E5B9)
+    return acc ^ acc >> np.uint64(32)
 
-_SPREAD = 0x9FB21C651E98DF25
 
+def _sketch(h: np.ndarray) -> int:
+    """Parity of the words that fall on each of 64 bits: one edit changes at most two."""
+    bits = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64) & 1
+    return int(np.packbits(bits.astype(np.uint8)).view(">i8")[0])
 
-def _keyed(gram: np.ndarray, offset: np.ndarray | np.uint64) -> np.ndarray:
-    """Hashes of words mixed with the offsets of their buckets."""
-    mixed = gram + offset
-    mixed ^= mixed >> np.uint64(32)
-    return mixed * np.uint64(0x94D049BB133111EB)
 
+def gram_counts(classes: DataFrame) -> np.ndarray:
+    """How often the grams of every counter stand in all texts; tasks send their counters, and sums come to the driver."""
 
-def _offset(bucket: int) -> np.uint64:
-    return np.uint64(bucket * _SPREAD & 0xFFFFFFFFFFFFFFFF)
-
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (_grams(_hashed(text.split(" "), memo)) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        starts = [a for a in range(0, COUNTERS, _SLICE) if counts[a : a + _SLICE].any()]
+        sent = [counts[a : a + _SLICE].tobytes() for a in starts]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array(sent, pa.binary())], names=["start", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[start] = sums.get(start, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["start", "counts"])
 
-@lru_cache(maxsize=2_000)
-def _search_plan(n: int) -> tuple[tuple[int, np.ndarray, np.ndarray], ...]:
-    """For texts of n words, by segment length: where segments of all buckets begin, and the buckets' offsets."""
-    found: dict[int, tuple[list[int], list[np.uint64]]] = {}
-    for bucket in partner_buckets(n):
-        for a, length in segments(n, bucket):
-            at, offsets = found.setdefault(length, ([], []))
-            at.append(a)
-            offsets.append(_offset(bucket))
-    return tuple((length, np.array(at, np.int32), np.array(offsets, np.uint64)) for length, (at, offsets) in sorted(found.items()))
+    kind = "start int, counts binary"
+    found = np.zeros(COUNTERS, np.int64)
+    for row in classes.select("words").mapInArrow(count, kind).repartition("start").mapInArrow(add, kind).collect():  # COUNTERS longs in all
+        found[row.start : row.start + _SLICE] = np.frombuffer(row.counts, np.int64)
+    return found
 
 
-def grams(classes: DataFrame, side: str) -> DataFrame:
-    """``(gram, key, pos, n, s0, s1)``: segments of evaluation texts, or the windows that such segments can match.
+def rare_grams(classes: DataFrame, counts) -> DataFrame:
+    """``(gram, class, pos, n, sketch)``: the rarest grams of every text, as many as ``needed``; ``counts`` is a broadcast of ``gram_counts``.
 
-    ``gram`` hashes the words together with the bucket of the training text's length, so that a phrase that very many
-    texts have is spread over as many keys as they have lengths.
+    Equal grams of one text count as often as they stand there, the first first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
+        often = counts.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                gram, pos, row, size, s0, s1 = [], [], [], [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    h = _hashed(text.split(" "), memo)
-                    n, before = len(h), len(gram)
-                    if side == "segments":
-                        for length, at, offsets in _search_plan(n):
-                            gram.append(_keyed(_windows(h, length)[at], offsets))
-                            pos.append(at)
-                    else:
-                        offset = _offset(length_bucket(n))
-                        for length in partner_lengths(n):
-                            w = _windows(h, length)
-                            gram.append(_keyed(w, offset))
-                            pos.append(np.arange(len(w), dtype=np.int32))
-                    row.append(sum(map(len, gram[before:])))
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                gram, pos, row, size, sketch = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], []
+                for text in batch.column(1).to_pylist():
+                    words = text.split(" ")
+                    n = len(words)
+                    k = needed(n)
+                    row.append(k)
                     size.append(n)
-                    a, b = _sketch(h)
-                    s0.append(a)
-                    s1.append(b)
-                counts = np.array(row)
-                spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), counts))
-                key = np.repeat(batch.column(0).to_numpy(), counts)
+                    if not k:
+                        sketch.append(0)
+                        continue
+                    h = _hashed(words, memo)
+                    g = _grams(h)
+                    rarest = np.lexsort((g, often[(g % np.uint64(COUNTERS)).astype(np.int64)]))[:k]  # stable: positions ascend
+                    gram.append(g[rarest])
+                    pos.append(rarest)
+                    sketch.append(_sketch(h))
+                counts_ = np.array(row, np.int64)
+                spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), counts_))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(gram).view(np.int64)), pa.array(key), pa.array(np.concatenate(pos)), spread(size, np.int32), spread(s0, np.int64), spread(s1, np.int64)],
-                    names=["gram", "key", "pos", "n", "s0", "s1"],
-                )
+                    [
+                        pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts_)),
+                        pa.array(np.concatenate(pos).astype(np.int32)), spread(size, np.int32), spread(sketch, np.int64),
+                    ],
+                    names=["gram", "class", "pos", "n", "sketch"],
+                )
 
-    return classes.select("key", "words").mapInArrow(run, "gram bigint, key bigint, pos int, n int, s0 bigint, s1 bigint")
+    return classes.select("class", "words").mapInArrow(run, "gram bigint, class bigint, pos int, n int, sketch bigint")
 
 
 def near_classes(classes: DataFrame, space: Workspace) -> DataFrame:
-    """``(eval_key, train_key)`` of different canonical texts within reach of each other."""
-    e = grams(classes.where("has_eval"), "segments").select(*(F.col(c).alias(f"e_{c}") for c in ("gram", "key", "pos", "n", "s0", "s1")))
-    t = grams(classes.where("has_train"), "windows")
+    """``(eval_key, train_key)`` of different canonical texts within reach of each other.
+
+    Spark takes what comes from Python for as small as what went in, so these joins are told to shuffle.
+    """
+    counts = classes.sparkSession.sparkContext.broadcast(gram_counts(classes))
+    e = rare_grams(classes.where("has_eval"), counts).toDF("gram", "e_class", "e_pos", "e_n", "e_sketch")
+    t = rare_grams(classes.where("has_train"), counts)
     edits = F.floor(F.greatest("e_n", "n") / ONE_WORD_IN)
     shift = F.col("pos") - F.col("e_pos")
-    reach = (
-        (F.col("e_gram") == F.col("gram"))
-        & (F.col("e_key") != F.col("key"))
+    met = e.hint("merge").join(t, "gram").where(
+        (F.col("e_class") != F.col("class"))
         & (F.abs(shift) + F.abs(F.col("n") - F.col("e_n") - shift) <= edits)
-        & (F.bit_count(F.col("e_s0").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("e_s1").bitwiseXOR(F.col("s1"))) <= 2 * edits)
+        & (F.bit_count(F.col("e_sketch").bitwiseXOR(F.col("sketch"))) <= 2 * edits)
     )
-    pairs = space.keep(e.join(t, reach).select(F.col("e_key").alias("eval_key"), F.col("key").alias("train_key")).distinct())
-    text = classes.select("key", "words")
-    both = pairs.join(text.toDF("eval_key", "eval_words"), "eval_key").join(text.toDF("train_key", "train_words"), "train_key")
+    pairs = space.keep(met.select("e_class", "class").distinct())
+    text = classes.select("class", "key", "words")
+    both = pairs.join(text.toDF("e_class", "eval_key", "eval_words").hint("merge"), "e_class").join(text.toDF("class", "train_key", "train_words").hint("merge"), "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,33 +232,52 @@ def near_classes(classes: DataFrame, space: Workspace) -> DataFrame:
                 keep.append(word_distance(x, y) <= allowed(len(x), len(y)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("eval_key", "train_key", "eval_words", "train_words").mapInArrow(run, "eval_key bigint, train_key bigint")
+    return both.select("eval_key", "train_key", "eval_words", "train_words").mapInArrow(run, "eval_key binary, train_key binary")
 
 
-def split_overlaps(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Overlapping pairs, and the canonical records they come from.
+def overlapping_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(eval_key, train_key, exact)`` of canonical texts that overlap, and the records ``(id, split, source, key)`` with words.
 
     ``records``: ``(id, split, source, text)``; the split ``train`` in any case against every other split that is not
-    null.  Pairs: ``(eval_id, eval_split, eval_source, train_id, train_source, exact)``, one row per pair of records.
-    Texts that are null or without words overlap with nothing; repeated rows of a record count once.
+    null.  Texts that are null or without words overlap with nothing; repeated rows of a record count once.
     """
     space = Workspace(records.sparkSession, "overlap")
     rows = records.select("id", F.lower(F.trim("split")).alias("split"), "source", "text").where("split is not null")
-    base = space.keep(canonical(rows).dropDuplicates(["id", "key"]))
+    read = space.keep(canonical(rows))
     is_train = F.col("split") == TRAIN
-    classes = space.keep(base.groupBy("key").agg(F.min("words").alias("words"), F.bool_or(~is_train).alias("has_eval"), F.bool_or(is_train).alias("has_train")))
+    grouped = read.groupBy("key").agg(F.min("words").alias("words"), F.bool_or(~is_train).alias("has_eval"), F.bool_or(is_train).alias("has_train"))
+    classes = space.keep(grouped.withColumn("class", F.monotonically_increasing_id()))
     same = classes.where("has_eval and has_train").select(F.col("key").alias("eval_key"), F.col("key").alias("train_key"))
-    linked = same.withColumn("exact", F.lit(True)).unionByName(near_classes(classes, space).withColumn("exact", F.lit(False)))
+    near = near_classes(classes, space)
+    linked = space.keep(same.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False))))
+    return linked, read.select("id", "split", "source", "key").distinct()
+
+
+def split_overlaps(records: DataFrame) -> DataFrame:
+    """``(eval_id, eval_split, eval_source, train_id, train_source, exact)``: every pair of records whose texts overlap, see ``overlapping_classes``."""
+    linked, base = overlapping_classes(records)
+    is_train = F.col("split") == TRAIN
     evals = base.where(~is_train).select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
     trains = base.where(is_train).select(F.col("key").alias("train_key"), F.col("id").alias("train_id"), F.col("source").alias("train_source"))
     pairs = linked.join(evals, "eval_key").join(trains, "train_key")
-    return pairs.select("eval_id", "eval_split", "eval_source", "train_id", "train_source", "exact"), base
+    return pairs.select("eval_id", "eval_split", "eval_source", "train_id", "train_source", "exact")
+
 
+def overlap_report(records: DataFrame) -> DataFrame:
+    """``(eval_split, eval_source, train_source, overlapping_records, pairs, exact_pairs, eval_records)``: what overlaps, counted.
 
-def overlap_report(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """Per split and source of the evaluation records and source of the training records: records and pairs that overlap."""
-    totals = base.where(F.col("split") != TRAIN).groupBy(F.col("split").alias("eval_split"), F.col("source").alias("eval_source")).agg(F.countDistinct("id").alias("eval_records"))
-    found = pairs.groupBy("eval_split", "eval_source", "train_source").agg(
-        F.countDistinct("eval_id").alias("overlapping_records"), F.count(F.lit(1)).alias("pairs"), F.count_if("exact").alias("exact_pairs")
+    Pairs are multiplied out from the numbers of records of the texts, not listed; evaluation records that overlap count
+    once per source of the training records.
+    """
+    linked, base = overlapping_classes(records)
+    is_train = F.col("split") == TRAIN
+    one = F.count(F.lit(1))
+    evals = base.where(~is_train).select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
+    totals = evals.groupBy("eval_split", "eval_source").agg(F.countDistinct("eval_id").alias("eval_records"))
+    train_sizes = base.where(is_train).groupBy(F.col("key").alias("train_key"), F.col("source").alias("train_source")).agg(one.alias("trains"))
+    met = linked.join(train_sizes, "train_key").groupBy("eval_key", "train_source").agg(
+        F.sum("trains").alias("trains"), F.sum(F.when(F.col("exact"), F.col("trains")).otherwise(0)).alias("exact_trains")
     )
-    return found.join(totals, ["eval_split", "eval_source"])
+    found = evals.join(met, "eval_key").groupBy("eval_split", "eval_source", "train_source")
+    counted = found.agg(F.countDistinct("eval_id").alias("overlapping_records"), F.sum("trains").alias("pairs"), F.sum("exact_trains").alias("exact_pairs"))
+    return counted.join(totals, ["eval_split", "eval_source"])

@@ -40,12 +40,12 @@ def _evaluation_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs, _ = split_overlaps(_evaluation_records(spark, d))
+    pairs = split_overlaps(_evaluation_records(spark, d))
     return pairs.select(F.least("eval_id", "train_id").alias("left_id"), F.greatest("eval_id", "train_id").alias("right_id"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap_report(*split_overlaps(_evaluation_records(spark, d)))
+    return overlap_report(_evaluation_records(spark, d))
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -11,8 +11,7 @@ def records(spark, given):
 
 
 def found(spark, given):
-    pairs, _ = O.split_overlaps(records(spark, given))
-    return {(r.eval_id, r.train_id, r.exact) for r in pairs.collect()}
+    return {(r.eval_id, r.train_id, r.exact) for r in O.split_overlaps(records(spark, given)).collect()}
 
 
 def test_word_distance_against_dynamic_programme():
@@ -30,18 +29,25 @@ def test_word_distance_against_dynamic_programme():
         assert O.word_distance(a, b) == plain(a, b)
 
 
-def test_segments_are_disjoint_and_enough():
-    for n in [*range(1, 260), 1000, 4999]:
+def test_needed_grams_are_enough():
+    """No edits that a partner may have destroy as many grams as a text shows."""
+    rng = random.Random(2)
+    for n in [*range(1, 120), 300]:
         low, high = O.reach_of(n)
-        for m in {max(low, 1), low + 1, n - 1, n, n + 1, high - 1, high}:
-            if m < 1 or abs(n - m) > O.allowed(n, m):
+        for m in range(max(low, 1), high + 1):
+            d = O.allowed(n, m)
+            if abs(m - n) > d or d == 0:
                 continue
-            bucket = O.length_bucket(m)
-            assert bucket in O.partner_buckets(n) and O.length_bucket(O.longest_in_bucket(bucket)) == bucket >= O.length_bucket(m)
-            s = O.segments(n, bucket)
-            assert all(a + length <= b for (a, length), (b, _) in zip(s, s[1:])) and s[0][0] == 0 and sum(x for _, x in s) == n and min(x for _, x in s) >= 1
-            assert len(s) > O.allowed(n, m) or len(s) == n
-            assert {x for _, x in s if x <= m} <= set(O.partner_lengths(m))
+            assert 0 < O.needed(n) <= n - O.GRAM + 1
+            for _ in range(5):
+                words = list(range(n))  # all grams differ
+                changed = set(rng.sample(range(n), max(d - abs(m - n), 0)))
+                kept = [(-1, i)[i not in changed] for i in words]
+                for _ in range(abs(m - n)):
+                    at = rng.randrange(len(kept) + (m > n))
+                    kept[at : at + (m < n)] = [-2] if m > n else []
+                shared = {tuple(kept[i : i + O.GRAM]) for i in range(len(kept))} & {tuple(words[i : i + O.GRAM]) for i in range(n - O.GRAM + 1)}
+                assert n - O.GRAM + 1 - len(shared) < O.needed(n)
 
 
 def test_states(spark):
@@ -53,8 +59,7 @@ def test_states(spark):
         ("e7", "test", "a", "short text"), ("t5", "train", "b", "Short, text"), ("e8", "test", "a", "tiny one"),
     ]
     assert found(spark, given) == {("e1", "t1", True), ("e1", "t2", True), ("e2", "t1", False), ("e2", "t2", False), ("e7", "t5", True)}
-    pairs, base_rows = O.split_overlaps(records(spark, given))
-    report = {(r.eval_split, r.eval_source, r.train_source): (r.overlapping_records, r.pairs, r.exact_pairs, r.eval_records) for r in O.overlap_report(pairs, base_rows).collect()}
+    report = {(r.eval_split, r.eval_source, r.train_source): (r.overlapping_records, r.pairs, r.exact_pairs, r.eval_records) for r in O.overlap_report(records(spark, given)).collect()}
     assert report[("test", "a", "b")] == (2, 2, 2, 3) and report[("dev", "b", "a")] == (1, 1, 0, 2)
 
 
