@@ -1,15 +1,17 @@
 """Records of evaluation splits that stand, exactly or nearly, in a training split.
 
 Exact overlaps are an equi-join on the hash of the canonical text.  Near overlaps differ in at most one word in
-seven.  They come from the same kind of join, on hashes of three successive words: a text's edits destroy at most
-three of those each, so of two texts in reach the rarest ones of either, one more than can be destroyed, must meet in
-one that stands unharmed in both.  Which are rare is counted over all texts in a table of fixed size, and any table gives
-the same pairs.  The join condition drops pairs whose positions, lengths or word sketches already need more edits, and
-a word-level edit distance decides the rest.
+seven.  They come from the same kind of join, on hashes of two successive words: an edit destroys at most two of those,
+so of two texts in reach the rarest ones of either, one more than can be destroyed, must meet in one that stands
+unharmed in both.  Which are rare is counted over all texts in a table of fixed size, and any table gives the same pairs.
+Those that remain frequent are keyed with the length and the place where a partner can have them.  The join condition
+drops pairs whose positions, lengths or word sketches already need more edits, and a word-level edit distance decides
+the rest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +33,9 @@ _apostrophes = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 _words = re.compile(r"[^\W_]+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-GRAM = 3  # words
+GRAM = 2  # words
 COUNTERS = 1 << 18  # hashed counts of grams: a fixed size, sent to every task
+FREQUENT = 1000  # grams with a greater count are keyed by length and place as well
 _SLICE = 1 << 14
 
 
@@ -108,33 +112,48 @@ def canonical(records: DataFrame) -> DataFrame:
     )
 
 
-def _hashed(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    if len(memo) > 500_000:
-        memo.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+class Words:
+    """The words of many texts in one row: their hashes, and to which text each belongs."""
 
+    def __init__(self, texts: pa.Array, memo: dict[str, int]):
+        lists = pc.split_pattern(texts, " ")
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        if len(memo) > 500_000:
+            memo.clear()
+        known = np.empty(len(words.dictionary), np.uint64)
+        for i, w in enumerate(words.dictionary.to_pylist()):
+            h = memo.get(w)
+            if h is None:
+                h = memo[w] = xxhash.xxh64_intdigest(w)
+            known[i] = h
+        self.hashes = known[words.indices.to_numpy()]
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    """Hashes of all ``GRAM`` successive words."""
-    n = max(len(h) - GRAM + 1, 0)
-    acc = np.zeros(n, np.uint64)
-    for k in range(GRAM if n else 0):
-        acc = acc * _BASE + h[k : k + n]
-    acc ^= acc >> np.uint64(29)
-    acc *= np.uint64(0xBF58476D1CE4E5B9)
-    return acc ^ acc >> np.uint64(32)
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all ``GRAM`` successive words of one text, and where they begin."""
+        at = np.flatnonzero(self.place + GRAM <= self.sizes[self.text])
+        acc = np.zeros(len(at), np.uint64)
+        for k in range(GRAM):
+            acc = acc * _BASE + self.hashes[at + k]
+        return _mixed(acc), at
 
+    def sketches(self) -> np.ndarray:
+        """Two longs a text: the parities of the words that fall on each of 128 bits; one edit changes at most two."""
+        bits = self.text * 128 + (self.hashes >> np.uint64(57)).astype(np.int64)
+        parity = np.bincount(bits, minlength=len(self.sizes) * 128).astype(np.uint8) & 1
+        return np.packbits(parity).view(np.int64).reshape(-1, 2)
 
-def _sketch(h: np.ndarray) -> int:
-    """Parity of the words that fall on each of 64 bits: one edit changes at most two."""
-    bits = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(bits.astype(np.uint8)).view(">i8")[0])
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _counter(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
 def gram_counts(classes: DataFrame) -> np.ndarray:
@@ -144,8 +163,7 @@ def gram_counts(classes: DataFrame) -> np.ndarray:
         memo: dict[str, int] = {}
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (_grams(_hashed(text.split(" "), memo)) % np.uint64(COUNTERS)).astype(np.int64), 1)
+            counts += np.bincount(_counter(Words(batch.column(0), memo).grams()[0]), minlength=COUNTERS)
         starts = [a for a in range(0, COUNTERS, _SLICE) if counts[a : a + _SLICE].any()]
         sent = [counts[a : a + _SLICE].tobytes() for a in starts]
         yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array(sent, pa.binary())], names=["start", "counts"])
@@ -164,45 +182,77 @@ def gram_counts(classes: DataFrame) -> np.ndarray:
     return found
 
 
-def rare_grams(classes: DataFrame, counts) -> DataFrame:
-    """``(gram, class, pos, n, sketch)``: the rarest grams of every text, as many as ``needed``; ``counts`` is a broadcast of ``gram_counts``.
+def _stretch(n: np.ndarray) -> np.ndarray:
+    """Lengths fall into stretches of about four tenths."""
+    return np.floor(np.log(np.maximum(n, 1)) * 3).astype(np.int64)
+
+
+_FIRST = np.array([next(m for m in range(max(int(math.exp(k / 3)) - 1, 1), 1 << 40) if math.floor(math.log(m) * 3) >= k) for k in range(66)])
+
 
-    Equal grams of one text count as often as they stand there, the first first.
+def _cell_keys(gram: np.ndarray, stretch: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Keys of frequent grams: with the stretch of the training text's length, and the cell of the place in it."""
+    return _mixed(gram + (stretch * 0x1F123BB5 + cell * 0x9E3779B1 + 1).astype(np.uint64) * _BASE)
+
+
+def _cells(gram: np.ndarray, at: np.ndarray, n: np.ndarray, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of frequent grams at places ``at`` of texts of ``n`` words, and the row of each key.
+
+    A training text has one cell, an evaluation text those where a partner may have the gram.
+    """
+    if side == "train":
+        k = _stretch(n)
+        return _cell_keys(gram, k, at // np.maximum(_FIRST[k] // ONE_WORD_IN, 1)), np.arange(len(gram))
+    low, high = -(-n * (ONE_WORD_IN - 1) // ONE_WORD_IN), n + n // (ONE_WORD_IN - 1)
+    keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    first, last = _stretch(low), _stretch(high)
+    for i in range(int((last - first).max(initial=-1)) + 1):
+        row = np.flatnonzero(first + i <= last)
+        k = first[row] + i
+        shift = np.maximum(n[row], np.minimum(_FIRST[k + 1] - 1, high[row])) // ONE_WORD_IN
+        width = np.maximum(_FIRST[k] // ONE_WORD_IN, 1)
+        begin, end = np.maximum(at[row] - shift, 0) // width, (at[row] + shift) // width
+        times = end - begin + 1
+        row, k, begin = np.repeat(row, times), np.repeat(k, times), np.repeat(begin, times)
+        cell = begin + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        keys.append(_cell_keys(gram[row], k, cell))
+        rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def rare_grams(classes: DataFrame, counts, side: str) -> DataFrame:
+    """``(gram, class, place, s0, s1)``: keys of the rarest grams of every text, as many as ``needed``.
+
+    ``counts`` is a broadcast of ``gram_counts``.  Equal grams of one text count as often as they stand there, the first
+    first.  ``place`` holds the text's length and the gram's position.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         often = counts.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                gram, pos, row, size, sketch = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = text.split(" ")
-                    n = len(words)
-                    k = needed(n)
-                    row.append(k)
-                    size.append(n)
-                    if not k:
-                        sketch.append(0)
-                        continue
-                    h = _hashed(words, memo)
-                    g = _grams(h)
-                    rarest = np.lexsort((g, often[(g % np.uint64(COUNTERS)).astype(np.int64)]))[:k]  # stable: positions ascend
-                    gram.append(g[rarest])
-                    pos.append(rarest)
-                    sketch.append(_sketch(h))
-                counts_ = np.array(row, np.int64)
-                spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), counts_))
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                words = Words(batch.column(1), memo)
+                gram, at = words.grams()
+                text, count = words.text[at], often[_counter(gram)]
+                order = np.lexsort((gram, count, text))  # stable: equal grams of a text stay in order
+                show = np.fromiter(map(needed, words.sizes.tolist()), np.int64, len(words.sizes))
+                grams = np.bincount(text, minlength=len(words.sizes))
+                rank = np.arange(len(order)) - np.repeat(np.cumsum(grams) - grams, grams)
+                taken = order[rank < show[text[order]]]
+                gram, at, text, count = gram[taken], at[taken], text[taken], count[taken]
+                place, n = words.place[at], words.sizes[text]
+                plain, heavy = np.flatnonzero(count <= FREQUENT), np.flatnonzero(count > FREQUENT)
+                keys, rows = _cells(gram[heavy], place[heavy], n[heavy], side)
+                key, row = np.concatenate([gram[plain], keys]), np.concatenate([plain, heavy[rows]])
+                sketch = words.sketches()[text[row]]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts_)),
-                        pa.array(np.concatenate(pos).astype(np.int32)), spread(size, np.int32), spread(sketch, np.int64),
-                    ],
-                    names=["gram", "class", "pos", "n", "sketch"],
-                )
+                    [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(text[row])), pa.array(n[row] << 32 | place[row]), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                    names=["gram", "class", "place", "s0", "s1"],
+                )
 
-    return classes.select("class", "words").mapInArrow(run, "gram bigint, class bigint, pos int, n int, sketch bigint")
+    return classes.select("class", "words").mapInArrow(run, "gram bigint, class bigint, place bigint, s0 bigint, s1 bigint")
 
 
 def near_classes(classes: DataFrame, space: Workspace) -> DataFrame:
@@ -211,15 +261,14 @@ def near_classes(classes: DataFrame, space: Workspace) -> DataFrame:
     Spark takes what comes from Python for as small as what went in, so these joins are told to shuffle.
     """
     counts = classes.sparkSession.sparkContext.broadcast(gram_counts(classes))
-    e = rare_grams(classes.where("has_eval"), counts).toDF("gram", "e_class", "e_pos", "e_n", "e_sketch")
-    t = rare_grams(classes.where("has_train"), counts)
-    edits = F.floor(F.greatest("e_n", "n") / ONE_WORD_IN)
-    shift = F.col("pos") - F.col("e_pos")
-    met = e.hint("merge").join(t, "gram").where(
-        (F.col("e_class") != F.col("class"))
-        & (F.abs(shift) + F.abs(F.col("n") - F.col("e_n") - shift) <= edits)
-        & (F.bit_count(F.col("e_sketch").bitwiseXOR(F.col("sketch"))) <= 2 * edits)
-    )
+    e = rare_grams(classes.where("has_eval"), counts, "eval").toDF("gram", "e_class", "e_place", "e0", "e1")
+    t = rare_grams(classes.where("has_train"), counts, "train")
+    e_n, n = F.shiftright("e_place", 32), F.shiftright("place", 32)
+    edits = F.floor(F.greatest(e_n, n) / ONE_WORD_IN)
+    shift = F.col("place").bitwiseAND(0xFFFFFFFF) - F.col("e_place").bitwiseAND(0xFFFFFFFF)
+    differ = F.bit_count(F.col("e0").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("e1").bitwiseXOR(F.col("s1")))
+    reach = (differ <= 2 * edits) & (F.abs(shift) + F.abs(n - e_n - shift) <= edits) & (F.col("e_class") != F.col("class"))
+    met = e.hint("merge").join(t, "gram").where(reach)
     pairs = space.keep(met.select("e_class", "class").distinct())
     text = classes.select("class", "key", "words")
     both = pairs.join(text.toDF("e_class", "eval_key", "eval_words").hint("merge"), "e_class").join(text.toDF("class", "train_key", "train_words").hint("merge"), "class")

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from foliant.llm import overlap as O
 from tests.helpers import frame, rows
 
@@ -50,6 +53,22 @@ def test_needed_grams_are_enough():
                 assert n - O.GRAM + 1 - len(shared) < O.needed(n)
 
 
+def test_frequent_grams_meet_in_a_cell():
+    """A gram of an evaluation text has the cell of every partner that may have it, and no cell twice."""
+    assert all(O._stretch(np.array([m]))[0] >= k > O._stretch(np.array([m - 1]))[0] for k, m in enumerate(O._FIRST.tolist()) if k)
+    gram = np.array([77], np.uint64)
+    for n in [6, 7, 13, 50, 51, 400]:
+        low, high = O.reach_of(n)
+        for at in {0, 1, n // 2, n - 2}:
+            keys = O._cells(gram, np.array([at]), np.array([n]), "eval")[0].tolist()
+            assert len(keys) == len(set(keys))
+            for m in range(low, high + 1):
+                d = O.allowed(n, m)
+                for there in range(max(at - d, 0), min(at + d, m - 2) + 1):
+                    if abs(n - m) <= d:
+                        assert O._cells(gram, np.array([there]), np.array([m]), "train")[0][0] in keys
+
+
 def test_states(spark):
     base = " ".join(f"word{i}" for i in range(14))
     given = [
@@ -68,8 +87,10 @@ def test_empty(spark):
     assert found(spark, [("t", "train", "a", "some text")]) == set()
 
 
-def test_no_link_is_lost(spark):
+@pytest.mark.parametrize("frequent", [O.FREQUENT, 3])
+def test_no_link_is_lost(spark, monkeypatch, frequent):
     """All pairs by brute force, over texts of few words that share much, with edits of all kinds; one text is very long."""
+    monkeypatch.setattr(O, "FREQUENT", frequent)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
     given = [(f"t{i}", "train", "a", " ".join(rng.choices(vocabulary, k=rng.randint(1, 60)))) for i in range(80)]
