@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
 ``spark.checkpoint.dir`` names that folder.  Iterative operators write each round there as Parquet and read it
-back: the plan stays short and a lost executor costs only its running tasks.  Where the setting is missing (unit
-tests, a laptop) one temporary folder per session stands in.
+back: the plan stays short and a lost executor costs only its running tasks.  Where the setting is missing and all of
+Spark runs in this process (unit tests, a laptop) one temporary folder per session stands in; anywhere else its
+absence is an error, since executors would write to disks of their own.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,10 +21,13 @@ _LOCAL_STANDIN = "spark.foliant.standin.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured."""
+    """The shared folder of the session; a temporary one where none is configured and Spark runs in one process."""
     configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not _one_process(master):
+        raise RuntimeError(f"set {_SETTING} to a folder that all executors share: master {master} has several disks")
     standin = spark.conf.get(_LOCAL_STANDIN, None)
     if not standin:
         folder = tempfile.mkdtemp(prefix="foliant-")
@@ -32,6 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return standin
 
 
+def _one_process(master: str) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder if the session still runs."""
     context = spark.sparkContext
