@@ -1,4 +1,4 @@
-"""Scalar functions on text as Spark columns; all stay in the JVM except the two Arrow functions at the end."""
+"""Scalar functions on text as Spark columns; all stay in the JVM except names in any script and the reference of UUIDs, at the end."""
 
 from __future__ import annotations
 
@@ -107,17 +107,6 @@ def uuid5(namespace, name) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def ascii_name(name) -> Column:
-    """A name in lower case, its runs of ASCII letters and digits joined by single blanks."""
-    return F.trim(F.regexp_replace(F.lower(_col(name)), "[^a-z0-9]+", " "))
-
-
-def name_words(name) -> Column:
-    """Sorted distinct words of a name without forms of address."""
-    words = F.filter(F.split(ascii_name(name), " "), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.array_except(words, F.array(*(F.lit(h) for h in HONORIFICS)))))
-
-
 def excerpt(text, start, end, radius: int = 500) -> Column:
     """The text around a span, at most ``radius`` code points on either side."""
     a = F.greatest(F.lit(0), _col(start) - radius)
@@ -192,6 +181,12 @@ def normalized_name(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else " ".join(words(unicodedata.normalize("NFKC", n).casefold())))
 
 
+def name_words(name) -> Column:
+    """Sorted distinct words of a name in any script without forms of address."""
+    words = F.filter(F.split(normalized_name(_col(name)), " "), lambda w: w != "")
+    return F.array_sort(F.array_distinct(F.array_except(words, F.array(*(F.lit(h) for h in HONORIFICS)))))
+
+
 @F.pandas_udf(StringType())
 def uuid5_reference(names: pd.Series, spaces: pd.Series) -> pd.Series:
     """The standard library's UUIDs, to hold ``uuid5`` against."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.shared import Workspace
 
+CELL_ROWS = 1 << 17
 _PART_BITS = 33  # monotonically_increasing_id puts the partition above these bits
 
 
@@ -42,6 +43,19 @@ def numbered_within(df: DataFrame, groups: list[str], order: list, space: Worksp
     return joined.withColumn(name, F.col("__at") - F.col("__first")).drop("__at", "__first", *(f"__{g}" for g in groups))
 
 
+def recent(df: DataFrame, groups: list[str], order: list, count: int, what: Column, name: str, space: Workspace | None = None, cell: int = CELL_ROWS) -> DataFrame:
+    """``df`` with ``name``, an array of ``what`` of the ``count`` rows before each in its group, in order.
+
+    The rows are numbered in order of groups and cut into cells of ``cell`` rows; each cell also sees the last ``count``
+    rows before it, so that a group of any size spreads over many tasks.
+    """
+    rows = numbered(df, *groups, *order, space=space, name="__at").withColumn("__cell", F.floor(F.col("__at") / cell))
+    late = rows.where(F.col("__at") % cell >= cell - count).withColumn("__cell", F.col("__cell") + 1)
+    both = rows.withColumn("__own", F.lit(True)).unionByName(late.withColumn("__own", F.lit(False)))
+    frame = Window.partitionBy("__cell", *groups).orderBy("__at").rowsBetween(-count, -1)
+    return both.withColumn(name, F.collect_list(what).over(frame)).where("__own").drop("__own", "__cell", "__at")
+
+
 def shard(df: DataFrame, count: int, index: int, *order) -> DataFrame:
     """Every ``count``-th row in order, from ``index`` on."""
     if not 0 <= index < count:

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import ascii_name, excerpt, name_words, uuid5
+from foliant.functions.text import excerpt, name_words, normalized_name, uuid5
 from foliant.operators.graph import star_components
+from foliant.operators.relational import recent
 from foliant.shared import Workspace
 
 RECENT, PER_MENTION, PER_VERSION, RADIUS = 3, 6, 2000, 500
@@ -24,12 +25,13 @@ def candidate_pairs(mentions: DataFrame, per_mention: int = PER_MENTION, per_ver
     three of its type those of the same chapter at most ``RADIUS`` before; equal names first, then ids, it keeps
     ``per_mention`` of them, and a version its first ``per_version``, both limits being part of the operator.
     """
+    space = Workspace(mentions.sparkSession, "blocking")
     place = F.struct("chapter_ordinal", "start_offset", "id").alias("place")
-    rows = mentions.select("id", "version_id", "chapter_id", "entity_type", "start_offset", "end_offset", ascii_name("surface_text").alias("name"), name_words("surface_text").alias("words"), place)
-    frame = lambda *keys: Window.partitionBy("version_id", "entity_type", *keys).orderBy("place").rowsBetween(-RECENT, -1)
-    earlier = F.collect_list(F.struct("id", "name", "chapter_id", "end_offset"))
-    by_word = rows.withColumn("word", F.explode("words")).withColumn("last", earlier.over(frame("word"))).withColumn("seen", F.explode("last"))
-    near = rows.withColumn("last", earlier.over(frame())).withColumn("seen", F.explode("last")).where((F.col("seen.chapter_id") == F.col("chapter_id")) & (F.col("start_offset") - F.col("seen.end_offset") <= RADIUS))
+    rows = space.keep(mentions.select("id", "version_id", "chapter_id", "entity_type", "start_offset", "end_offset", normalized_name("surface_text").alias("name"), name_words("surface_text").alias("words"), place))
+    earlier = F.struct("id", "name", "chapter_id", "end_offset")
+    by_word = recent(rows.withColumn("word", F.explode("words")).drop("words"), ["version_id", "entity_type", "word"], ["place"], RECENT, earlier, "last", space).withColumn("seen", F.explode("last"))
+    near = recent(rows.drop("words"), ["version_id", "entity_type"], ["place"], RECENT, earlier, "last", space).withColumn("seen", F.explode("last"))
+    near = near.where((F.col("seen.chapter_id") == F.col("chapter_id")) & (F.col("start_offset") - F.col("seen.end_offset") <= RADIUS))
     columns = ("version_id", "place", "id", "name", F.col("seen.id").alias("other"), F.col("seen.name").alias("other_name"))
     every = by_word.select(*columns).unionByName(near.select(*columns)).distinct()
     choice = Window.partitionBy("version_id", "id").orderBy(F.col("name") != F.col("other_name"), "other")
@@ -73,7 +75,7 @@ def seeded(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and aliases for mentions without an entity; an entity takes its mention's id."""
     new = mentions.where("entity_id is null")
     entities = new.select("id", "version_id", "entity_type", F.col("surface_text").alias("canonical_name"), F.lit("needs_review").alias("status"), F.lit(None).cast("string").alias("merged_into_id"))
-    aliases = new.select(F.col("id").alias("entity_id"), F.col("surface_text").alias("alias"), ascii_name("surface_text").alias("normalized_alias"))
+    aliases = new.select(F.col("id").alias("entity_id"), F.col("surface_text").alias("alias"), normalized_name("surface_text").alias("normalized_alias"))
     return entities, aliases
 
 

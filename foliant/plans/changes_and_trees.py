@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.operators.hierarchy import entity_descendants, entity_paths, entity_roots, mention_roots
 from foliant.operators.snapshots import chapter_changes
+from foliant.plans.deliveries import ref_sql
 from foliant.tables import table
 
 
@@ -33,10 +34,6 @@ def queries():
     return {f.__name__: f for f in (p1_found, p3_found, p3_paths, p3_descendants, p3_mentions)}
 
 
-def ref_sql(column: str) -> str:
-    return f"nullif(lower(trim(replace(replace(trim({column}), '{{', ''), '}}', ''))), '')"
-
-
 _WALK = f"""
 valid AS (
   SELECT id, arg_max(coalesce({ref_sql('merged_into_id')}, ''), updated_at) AS up FROM entities GROUP BY id),

@@ -11,6 +11,7 @@ from foliant.plans.changes_and_trees import _WALK
 from foliant.plans.registry import Catalogue
 from foliant.plans.relational import _CURRENT, _current, versions
 from foliant.plans.resolution import _CA, _CH, _MN, _ROOTS, _roots, candidates, chapters, mentions
+from foliant.plans.scalars import NAME
 from foliant.tables import table
 
 _c = Catalogue()
@@ -61,12 +62,12 @@ def _entities(spark, d):
 
 
 @_c.query(f"""WITH RECURSIVE {_WALK}, {_ROOTS}, {_ENT}
-SELECT ent.id AS entity_id, ent.name, coalesce(array_to_string(list_sort(list(al.alias) FILTER (trim(regexp_replace(lower(al.alias), '[^a-z0-9]+', ' ', 'g')) <> trim(regexp_replace(lower(ent.name), '[^a-z0-9]+', ' ', 'g')))), '|'), '') AS aliases
+SELECT ent.id AS entity_id, ent.name, coalesce(array_to_string(list_sort(list(al.alias) FILTER ({NAME.format('al.alias')} <> {NAME.format('ent.name')})), '|'), '') AS aliases
 FROM ent JOIN link_free ON link_free.id = ent.id LEFT JOIN al ON al.root_id = ent.id WHERE t = 'character' GROUP BY ALL""".replace(f"{_ENT}", f"{_ENT}, link_free AS (SELECT id FROM valid WHERE up = '')"))
 def q5_entities(spark, d):
     al = table(spark, d, "entity_aliases").where("alias is not null").join(_roots(spark, d), "entity_id").select(F.col("root_id").alias("entity_id"), "alias").distinct()
     heads = _roots(spark, d).where("entity_id = root_id").select("entity_id").join(_entities(spark, d), "entity_id").where("type = 'character'")
-    other = F.when(X.ascii_name("alias") != X.ascii_name("name"), F.col("alias"))
+    other = F.when(X.normalized_name("alias") != X.normalized_name("name"), F.col("alias"))
     return heads.join(al, "entity_id", "left").groupBy("entity_id", "name").agg(F.array_join(F.array_sort(F.collect_list(other)), "|").alias("aliases"))
 
 

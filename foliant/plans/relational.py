@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as X
 from foliant.operators import relational as L
-from foliant.plans.changes_and_trees import ref_sql
+from foliant.operators.deliveries import newest_rows
+from foliant.plans.deliveries import ref_sql
 from foliant.plans.registry import Catalogue
 from foliant.plans.resolution import _CA, _CH, _MN, candidates, chapters, mentions
+from foliant.plans.scalars import NAME
 from foliant.refs import normal_ref, normal_word
 from foliant.sources.readers import read_jsonl
 from foliant.tables import table
@@ -17,12 +19,11 @@ from foliant.tables import table
 _c = Catalogue()
 queries, oracle_sql = _c.queries, _c.oracle_sql
 
-_V = "v AS (SELECT id, max(project_id) AS project_id, max(version_number) AS version_number, max(status) AS status, max(created_at) AS created_at, max(file_size) AS file_size, max(object_key) AS object_key FROM manuscript_versions GROUP BY id)"
+_V = "v AS (SELECT DISTINCT id, project_id, version_number, status, created_at, file_size, object_key FROM manuscript_versions)"
 
 
 def versions(spark, d):
-    columns = ("project_id", "version_number", "status", "created_at", "file_size", "object_key")
-    return table(spark, d, "manuscript_versions").groupBy("id").agg(*(F.max(c).alias(c) for c in columns))
+    return newest_rows(table(spark, d, "manuscript_versions"), "id", "created_at", "project_id", "version_number", "status", "file_size", "object_key")
 
 
 # --- S -----------------------------------------------------------------------------------------------------------
@@ -221,12 +222,12 @@ def j13_zip(spark, d):
     return a.join(b, "ordinal").select("vec_id", "event_id")
 
 
-_ALIAS = f"al AS (SELECT DISTINCT e.manuscript_version_id AS version_id, trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) AS name, {ref_sql('entity_id')} AS entity_id FROM entity_aliases a JOIN (SELECT DISTINCT id, manuscript_version_id FROM entities) e ON e.id = {ref_sql('entity_id')} WHERE alias IS NOT NULL)"
+_ALIAS = f"al AS (SELECT DISTINCT e.manuscript_version_id AS version_id, {NAME.format('alias')} AS name, {ref_sql('entity_id')} AS entity_id FROM entity_aliases a JOIN (SELECT DISTINCT id, manuscript_version_id FROM entities) e ON e.id = {ref_sql('entity_id')} WHERE alias IS NOT NULL)"
 
 
 def _aliases(spark, d):
     e = table(spark, d, "entities").select(F.col("id").alias("entity_id"), F.col("manuscript_version_id").alias("version_id")).distinct()
-    return table(spark, d, "entity_aliases").where("alias is not null").select(normal_ref("entity_id").alias("entity_id"), X.ascii_name("alias").alias("name")).join(e, "entity_id").select("version_id", "name", "entity_id").distinct()
+    return table(spark, d, "entity_aliases").where("alias is not null").select(normal_ref("entity_id").alias("entity_id"), X.normalized_name("alias").alias("name")).join(e, "entity_id").select("version_id", "name", "entity_id").distinct()
 
 
 @_c.query(f"WITH {_ALIAS} SELECT version_id, name, min(entity_id) AS entity_id FROM al GROUP BY 1, 2 HAVING count(DISTINCT entity_id) = 1")
@@ -234,11 +235,11 @@ def j14_unique_lookup(spark, d):
     return L.unique_lookup(_aliases(spark, d), "name", "entity_id", "version_id")
 
 
-@_c.query(r"""WITH k AS (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL), m AS (SELECT DISTINCT chunk_id, trim(regexp_replace(lower(surface_text), '[^a-z0-9]+', ' ', 'g')) AS name FROM entity_mentions)
-SELECT id AS chunk_id, name, contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || name || ' ') AS bounded FROM k JOIN m ON m.chunk_id = k.id WHERE name <> ''""")
+@_c.query(f"""WITH k AS (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL), m AS (SELECT DISTINCT chunk_id, {NAME.format('surface_text')} AS name FROM entity_mentions)
+SELECT id AS chunk_id, name, contains(' ' || {NAME.format('text')} || ' ', ' ' || name || ' ') AS bounded FROM k JOIN m ON m.chunk_id = k.id WHERE name <> ''""")
 def j15_bounded_containment(spark, d):
-    names = table(spark, d, "entity_mentions").select("chunk_id", X.ascii_name("surface_text").alias("name")).distinct().where("name <> ''")
-    k = table(spark, d, "chunks").where("text is not null").select(F.col("id").alias("chunk_id"), "text").distinct().select("chunk_id", X.ascii_name("text").alias("t"))
+    names = table(spark, d, "entity_mentions").select("chunk_id", X.normalized_name("surface_text").alias("name")).distinct().where("name <> ''")
+    k = table(spark, d, "chunks").where("text is not null").select(F.col("id").alias("chunk_id"), "text").distinct().select("chunk_id", X.normalized_name("text").alias("t"))
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return k.join(names, "chunk_id").select("chunk_id", "name", pad("t").contains(pad("name")).alias("bounded"))
 
@@ -264,10 +265,10 @@ def j22_names_per_scene(spark, d):
 # --- A -----------------------------------------------------------------------------------------------------------
 
 
-@_c.query("SELECT manuscript_version_id AS version_id, count(DISTINCT id)::BIGINT AS n FROM scenes s JOIN (SELECT DISTINCT id AS c, manuscript_version_id FROM chapters WHERE length(manuscript_version_id) = 36 AND manuscript_version_id = lower(manuscript_version_id)) ON c = s.chapter_id GROUP BY 1")
+@_c.query(f"WITH {_CH} SELECT version_id, count(DISTINCT s.id)::BIGINT AS n FROM scenes s JOIN ch ON ch.chapter_id = {ref_sql('s.chapter_id')} GROUP BY 1")
 def a1_counts(spark, d):
-    ids = table(spark, d, "chapters").where("length(manuscript_version_id) = 36 and manuscript_version_id = lower(manuscript_version_id)").select(F.col("id").alias("chapter_id"), F.col("manuscript_version_id").alias("version_id")).distinct()
-    return table(spark, d, "scenes").join(ids, "chapter_id").groupBy("version_id").agg(F.countDistinct("id").alias("n"))
+    scenes = table(spark, d, "scenes").select("id", normal_ref("chapter_id").alias("chapter_id"))
+    return scenes.join(chapters(spark, d).select("chapter_id", "version_id"), "chapter_id").groupBy("version_id").agg(F.countDistinct("id").alias("n"))
 
 
 @_c.query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS finished, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS open FROM orders GROUP BY 1")

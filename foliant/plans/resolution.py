@@ -8,25 +8,26 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.operators import mentions as M
 from foliant.operators import resolution as E
+from foliant.operators.deliveries import latest_chapters
 from foliant.operators.hierarchy import entity_roots
-from foliant.plans.changes_and_trees import _WALK, ref_sql
+from foliant.plans.changes_and_trees import _WALK
+from foliant.plans.deliveries import CH as _CH
+from foliant.plans.deliveries import ref_sql
 from foliant.plans.registry import Catalogue
+from foliant.plans.scalars import NAME
 from foliant.refs import normal_ref, normal_word
 from foliant.tables import table
 
 _c = Catalogue()
 queries, oracle_sql = _c.queries, _c.oracle_sql
 
-_CH = f"""ch AS (SELECT id AS chapter_id, max({ref_sql('manuscript_version_id')}) AS version_id, max(ordinal) AS ordinal, max(title) AS title, max(text) AS chapter_text FROM chapters GROUP BY id)"""
 _MN = """mn AS (SELECT id, manuscript_version_id AS version_id, chapter_id, scene_id, chunk_id, entity_type, surface_text, start_offset, end_offset, max(entity_id) AS entity_id FROM entity_mentions GROUP BY ALL)"""
 _CA = f"""ca AS (SELECT id, manuscript_version_id AS version_id, {ref_sql('left_mention_id')} AS l, {ref_sql('right_mention_id')} AS r, nullif(lower(trim(llm_decision)), '') AS llm_decision,
   nullif(lower(trim(applied_decision)), '') AS applied_decision, error_code, evidence_ids, created_at FROM (SELECT DISTINCT * FROM entity_resolution_candidates))"""
 
 
 def chapters(spark, d):
-    return table(spark, d, "chapters").groupBy(F.col("id").alias("chapter_id")).agg(
-        F.max(normal_ref("manuscript_version_id")).alias("version_id"), F.max("ordinal").alias("ordinal"), F.max("title").alias("title"), F.max("text").alias("chapter_text")
-    )
+    return latest_chapters(table(spark, d, "chapters"))
 
 
 def mentions(spark, d):
@@ -103,10 +104,10 @@ def m5_replaced(spark, d):
     return M.replaced_mentions(old, old, chunks, chunks).groupBy("version_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_WORDS = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(surface_text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'mr', 'mrs', 'ms', 'dr'))))"
+_WORDS = f"list_sort(list_distinct(list_filter(string_split({NAME.format('surface_text')}, ' '), lambda w: w NOT IN ('', 'mr', 'mrs', 'ms', 'dr'))))"
 _BLOCK = f"""
 {_CH}, {_MN},
-m AS (SELECT mn.id, mn.version_id, mn.chapter_id, ordinal, start_offset, end_offset, entity_type, trim(regexp_replace(lower(surface_text), '[^a-z0-9]+', ' ', 'g')) AS name, {_WORDS} AS words
+m AS (SELECT mn.id, mn.version_id, mn.chapter_id, ordinal, start_offset, end_offset, entity_type, {NAME.format('surface_text')} AS name, {_WORDS} AS words
   FROM mn JOIN ch ON ch.chapter_id = mn.chapter_id),
 w AS (SELECT *, unnest(words) AS word FROM m),
 bw AS (SELECT version_id, ordinal, start_offset, id, name, unnest(list(struct_pack(id := id, name := name)) OVER (PARTITION BY version_id, entity_type, word ORDER BY ordinal, start_offset, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) AS seen FROM w),
@@ -165,10 +166,10 @@ def j16_pair_conflicts(spark, d):
     return bad.select("id").distinct()
 
 
-@_c.query("SELECT DISTINCT id, entity_type, surface_text AS canonical_name FROM entity_mentions WHERE entity_id IS NULL")
+@_c.query(f"SELECT DISTINCT id, entity_type, surface_text AS canonical_name, {NAME.format('surface_text')} AS normalized_alias FROM entity_mentions WHERE entity_id IS NULL")
 def e4_seeded(spark, d):
-    m = table(spark, d, "entity_mentions").withColumnRenamed("manuscript_version_id", "version_id")
-    return E.seeded(m)[0].select("id", "entity_type", "canonical_name").distinct()
+    entities, aliases = E.seeded(mentions(spark, d))
+    return entities.select("id", "entity_type", "canonical_name").join(aliases.select(F.col("entity_id").alias("id"), "normalized_alias"), "id")
 
 
 @_c.query(f"""WITH {_BLOCK}, {_CA} SELECT left_id, right_id FROM block ANTI JOIN (SELECT version_id, least(l, r) AS left_id, greatest(l, r) AS right_id FROM ca) USING (version_id, left_id, right_id)""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.operators.deliveries import latest_chapters
+from foliant.plans.deliveries import CH
 from foliant.plans.registry import Catalogue
 from foliant.refs import normal_ref
 from foliant.tables import table
@@ -12,6 +14,8 @@ from foliant.tables import table
 _c = Catalogue()
 queries, oracle_sql = _c.queries, _c.oracle_sql
 
+#: A name in the form of ``normalized_name``, for the notations that the test tables have.
+NAME = r"trim(regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _STRIP = r"regexp_replace({}, '^[\x09-\x0d\x20]+|[\x09-\x0d\x20]+$', '', 'g')"
 _LINES = rf"""
 raw AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
@@ -84,48 +88,42 @@ def x7_uuid5(spark, d):
     return table(spark, d, "entity_mentions").select("id", X.uuid5("manuscript_version_id", name).alias("evidence_id")).distinct()
 
 
-@_c.query("SELECT DISTINCT surface_text, trim(regexp_replace(lower(surface_text), '[^a-z0-9]+', ' ', 'g')) AS name FROM entity_mentions WHERE regexp_full_match(surface_text, '[ -~]*')")
-def x8_ascii_names(spark, d):
-    rows = table(spark, d, "entity_mentions").where(F.col("surface_text").rlike(r"^[ -~]*\z")).select("surface_text").distinct()
-    return rows.select("surface_text", X.ascii_name("surface_text").alias("name"))
-
-
-@_c.query()
+@_c.query(f"SELECT DISTINCT surface_text, {NAME.format('surface_text')} AS name FROM entity_mentions")
 def x8_normalized_names(spark, d):
     rows = table(spark, d, "entity_mentions").select("surface_text").distinct()
     return rows.select("surface_text", X.normalized_name("surface_text").alias("name"))
 
 
-@_c.query("""
-SELECT alias, array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')), ' '),
-  lambda w: w NOT IN ('', 'mr', 'mrs', 'ms', 'dr')))), ' ') AS words FROM (SELECT DISTINCT alias FROM entity_aliases WHERE regexp_full_match(alias, '[ -~]*'))""")
+@_c.query(f"""
+SELECT alias, array_to_string(list_sort(list_distinct(list_filter(string_split({NAME.format('alias')}, ' '),
+  lambda w: w NOT IN ('', 'mr', 'mrs', 'ms', 'dr')))), ' ') AS words FROM (SELECT DISTINCT alias FROM entity_aliases)""")
 def x9_without_honorifics(spark, d):
-    rows = table(spark, d, "entity_aliases").where(F.col("alias").rlike(r"^[ -~]*\z")).select("alias").distinct()
+    rows = table(spark, d, "entity_aliases").select("alias").distinct()
     return rows.select("alias", F.array_join(X.name_words("alias"), " ").alias("words"))
 
 
-_SPANS = """
-chapter AS (SELECT id AS chapter_id, max(text) AS chapter_text FROM chapters GROUP BY id),
+_SPANS = f"""
+{CH},
 mention AS (SELECT DISTINCT id, chapter_id, surface_text, start_offset, end_offset FROM entity_mentions)
 """
 
 
 def _spans(spark, d):
-    chapters = table(spark, d, "chapters").groupBy(F.col("id").alias("chapter_id")).agg(F.max("text").alias("chapter_text"))
+    chapters = latest_chapters(table(spark, d, "chapters")).select("chapter_id", "chapter_text")
     mentions = table(spark, d, "entity_mentions").select("id", normal_ref("chapter_id").alias("chapter_id"), "surface_text", "start_offset", "end_offset").distinct()
     return mentions.join(chapters, "chapter_id")
 
 
 @_c.query(f"""WITH {_SPANS}
 SELECT id, sha256(substr(chapter_text, greatest(0, start_offset - 500) + 1, least(length(chapter_text), end_offset + 500) - greatest(0, start_offset - 500))) AS excerpt_digest
-FROM mention JOIN chapter USING (chapter_id)""")
+FROM mention JOIN ch USING (chapter_id)""")
 def x10_excerpt(spark, d):
     return _spans(spark, d).select("id", F.sha2(X.excerpt("chapter_text", "start_offset", "end_offset"), 256).alias("excerpt_digest"))
 
 
 @_c.query(f"""WITH {_SPANS}
 SELECT id, coalesce(start_offset >= 0 AND end_offset <= length(chapter_text) AND substr(chapter_text, start_offset + 1, end_offset - start_offset) = surface_text, false) AS matches
-FROM mention JOIN chapter USING (chapter_id)""")
+FROM mention JOIN ch USING (chapter_id)""")
 def x11_span_check(spark, d):
     return _spans(spark, d).select("id", X.span_matches("chapter_text", "start_offset", "end_offset", "surface_text").alias("matches"))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.operators.relational import numbered_within
+from foliant.operators.relational import numbered_within, recent
 from foliant.operators.structure import NO_CHAPTERS, Chunking, chunk_statistics, document_blocks, overlap_study, publish, structured
 from foliant.plans.registry import Catalogue
 from foliant.plans.scalars import _ROMAN_SQL
@@ -221,8 +220,8 @@ _MENTION = "SELECT DISTINCT id, manuscript_version_id AS v, chapter_id, entity_t
 @_c.query(f"""SELECT id, coalesce(array_to_string(list(id) OVER (PARTITION BY v, entity_type ORDER BY chapter_id, start_offset, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ','), '') AS previous FROM ({_MENTION})""")
 def w8_last3(spark, d):
     rows = table(spark, d, "entity_mentions").select("id", F.col("manuscript_version_id").alias("v"), "chapter_id", "entity_type", "start_offset").distinct()
-    frame = Window.partitionBy("v", "entity_type").orderBy("chapter_id", "start_offset", "id").rowsBetween(-3, -1)
-    return rows.select("id", F.array_join(F.collect_list("id").over(frame), ",").alias("previous"))
+    found = recent(rows, ["v", "entity_type"], ["chapter_id", "start_offset", "id"], 3, F.col("id"), "last")
+    return found.select("id", F.array_join("last", ",").alias("previous"))
 
 
 @_c.query(rf"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '{X.TOKEN}')) AS n FROM documents WHERE text IS NOT NULL)
