@@ -51,6 +51,17 @@ class HashedWords:
         return out / np.where(length == 0, 1.0, length)
 
 
+class Letters:
+    """Stand-in embedder that SQL can state too: how often each of the 26 small letters stands in a text, unit length."""
+
+    dimensions = 26
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.array([[text.count(chr(97 + i)) for i in range(26)] for text in texts], dtype=np.float64).reshape(-1, 26)
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(length == 0, 1.0, length)
+
+
 class WordOverlap:
     """Stand-in reranker: share of the query's distinct words that the text has."""
 

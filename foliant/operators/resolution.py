@@ -29,11 +29,12 @@ def candidate_pairs(mentions: DataFrame, per_mention: int = PER_MENTION, per_ver
     place = F.struct("chapter_ordinal", "start_offset", "id").alias("place")
     rows = space.keep(mentions.select("id", "version_id", "chapter_id", "entity_type", "start_offset", "end_offset", normalized_name("surface_text").alias("name"), name_words("surface_text").alias("words"), place))
     earlier = F.struct("id", "name", "chapter_id", "end_offset")
-    by_word = recent(rows.withColumn("word", F.explode("words")).drop("words"), ["version_id", "entity_type", "word"], ["place"], RECENT, earlier, "last", space).withColumn("seen", F.explode("last"))
-    near = recent(rows.drop("words"), ["version_id", "entity_type"], ["place"], RECENT, earlier, "last", space).withColumn("seen", F.explode("last"))
-    near = near.where((F.col("seen.chapter_id") == F.col("chapter_id")) & (F.col("start_offset") - F.col("seen.end_offset") <= RADIUS))
+    # one pass finds the last of the type (without a word) and the last with each word
+    groups = rows.withColumn("word", F.explode(F.concat(F.array(F.lit(None).cast("string")), "words"))).drop("words")
+    met = recent(groups, ["version_id", "entity_type", "word"], ["place"], RECENT, earlier, "last", space).withColumn("seen", F.explode("last"))
+    close = (F.col("seen.chapter_id") == F.col("chapter_id")) & (F.col("start_offset") - F.col("seen.end_offset") <= RADIUS)
     columns = ("version_id", "place", "id", "name", F.col("seen.id").alias("other"), F.col("seen.name").alias("other_name"))
-    every = by_word.select(*columns).unionByName(near.select(*columns)).distinct()
+    every = met.where(F.col("word").isNotNull() | close).select(*columns).distinct()
     choice = Window.partitionBy("version_id", "id").orderBy(F.col("name") != F.col("other_name"), "other")
     kept = every.withColumn("k", F.row_number().over(choice)).where(F.col("k") <= per_mention)
     first = Window.partitionBy("version_id").orderBy("place", "k")

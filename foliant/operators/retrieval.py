@@ -6,6 +6,7 @@ Queries come as a table, so one plan ranks them all.  Rankings are rows ``(query
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.models import Embedder, HashedWords, Scorer, WordOverlap, embed_column, score_column
+from foliant.shared import Workspace, spread
 
 K1, B = 1.2, 0.75
 RANK_CONSTANT, RANK_WINDOW = 60, 30
 MOST_RESULTS = 100
 BLOCK_ROWS = 2048
+SENT_VALUES = 1 << 23  # numbers of query vectors that go to every task: 32 MB
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -45,21 +48,24 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, k1: flo
     With ``scope``, a column of both tables, a query only meets documents of its own scope.
 
     Any word of the query may match; statistics are those of all documents given (filter before the call for
-    statistics of a scope).  idf is ln(1 + (N - df + 0.5) / (df + 0.5)).  Only words that some query has are
-    counted per document; equal queries are ranked once.  Null and empty texts and queries match nothing.
+    statistics of a scope).  idf is ln(1 + (N - df + 0.5) / (df + 0.5)).  Texts are read and cut into words once; only
+    words that some query has are counted per document; equal queries are ranked once.  Null and empty texts and queries
+    match nothing.
     """
     check_top_k(k)
-    sizes = documents.select("id", F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORD)), F.lit(0)).alias("dl"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    space = Workspace(documents.sparkSession, "bm25")
     within = [scope] if scope else []
     distinct = queries.where("query is not null").select("query", *within, words("query").alias("w")).distinct()
     wanted = distinct.select("query", *within, F.explode(F.array_distinct("w")).alias("term"))
-    vocabulary = wanted.select("term").distinct()
-    terms = documents.select("id", *within, words("text").alias("w")).select("id", *within, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    postings = terms.join(vocabulary, "term", "left_semi").groupBy("term", "id", *within, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = wanted.select("term").unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    # a word is never empty, so the empty term stands once for every document and carries its length into the totals
+    cut = spread(documents.select("id", *within, "text")).select("id", *within, F.coalesce(words("text"), F.array().cast("array<string>")).alias("w"))
+    terms = cut.select("id", *within, F.size("w").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    postings = space.keep(terms.join(vocabulary, "term", "left_semi").groupBy("term", "id", *within, "dl").agg(F.count(F.lit(1)).alias("tf")))
+    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("mean"))
+    totals = frequency.where("term = ''").select(F.col("df").alias("n"), F.col("mean").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = frequency.join(F.broadcast(totals), F.lit(True)).select("term", idf.alias("idf"), "avgdl")  # one row of totals
+    weight = frequency.where("term <> ''").join(F.broadcast(totals), F.lit(True)).select("term", idf.alias("idf"), "avgdl")  # one row of totals
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = postings.join(weight, "term").select("term", "id", *within, part.alias("part")).join(wanted, ["term", *within])
     scored = scores.groupBy("query", *within, "id").agg(F.round(F.sum("part"), digits).alias("score"))
@@ -67,55 +73,140 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, k1: flo
     return queries.join(best, ["query", *within]).select("query_id", "id", "score", "rank")
 
 
-def _blocks(vectors: DataFrame, name: str, rows: int) -> DataFrame:
-    """Vectors packed into rows of one block each: ``(name, ids, values)``."""
+class _Vectors:
+    """Vectors of one block: ids, the scopes they belong to, and unit rows."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                ids = part.column(0)
-                values = np.array(part.column(1).to_pylist(), dtype=np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([values.tobytes()], pa.binary())], names=["ids", "values"]
-                )
+    def __init__(self, ids: np.ndarray, scopes: np.ndarray, values: np.ndarray):
+        self.ids, self.scopes = ids, scopes
+        self.unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, dimensions: int) -> _Vectors:
+        flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return _Vectors(batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), object), flat.reshape(-1, dimensions))
+
+
+class _Best:
+    """The ``k`` best ids per query of all blocks that were seen, ties by id."""
+
+    def __init__(self, k: int, digits: int):
+        self.k, self.digits = k, digits
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.room = 0
 
-    packed = vectors.mapInArrow(pack, "ids array<bigint>, values binary")
-    return packed.select(F.col("ids").alias(f"{name}_ids"), F.col("values").alias(f"{name}_values"))
+    def meet(self, base: _Vectors, asked: _Vectors) -> None:
+        found = [(self.query, self.id, self.score)]
+        for scope in set(base.scopes.tolist()) & set(asked.scopes.tolist()):
+            b, q = np.flatnonzero(base.scopes == scope), np.flatnonzero(asked.scopes == scope)
+            scores = np.round(asked.unit[q] @ base.unit[b].T, self.digits)
+            if len(b) > self.k:
+                least = np.partition(scores, len(b) - self.k, axis=1)[:, len(b) - self.k]
+                row, col = np.nonzero(scores >= least[:, None])
+            else:
+                row, col = (x.ravel() for x in np.indices(scores.shape))
+            found.append((asked.ids[q[row]], base.ids[b[col]], scores[row, col]))
+        self.query, self.id, self.score = (np.concatenate(x) for x in zip(*found))
+        if len(self.query) > self.room:
+            self.trim()
+            self.room = 2 * len(self.query) + 100_000
 
+    def trim(self) -> None:
+        order = np.lexsort((self.id, -self.score, self.query))
+        query = self.query[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(query)) + 1]).astype(np.int64) if len(query) else np.zeros(0, np.int64)
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        kept = order[rank < self.k]
+        self.query, self.id, self.score = self.query[kept], self.id[kept], self.score[kept]
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, dimensions: int = 64, digits: int = 5, rows: int = BLOCK_ROWS) -> DataFrame:
+    def batch(self) -> pa.RecordBatch:
+        self.trim()
+        return pa.RecordBatch.from_arrays([pa.array(self.query, pa.int64()), pa.array(self.id, pa.int64()), pa.array(self.score, pa.float64())], names=["query_id", "id", "score"])
+
+
+_FOUND = "query_id bigint, id bigint, score double"
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, dimensions: int = 64, digits: int = 5, rows: int = BLOCK_ROWS, scope: str | None = None, sent: int = SENT_VALUES,
+) -> DataFrame:
     """``(query_id, id, score, rank)``: exact nearest neighbours by cosine of ``queries`` among ``vectors``.
 
-    Both are ``(id BIGINT, vector)``.  Vectors that are null, of another length, not finite or all zero are left
-    out.  Blocks of the two sides meet in matrix products; each product keeps its ``k`` best per query, and a
-    grouped limit keeps ``k`` of those.
+    Both are ``(id BIGINT, vector)``; with ``scope``, a column of both, a query only meets vectors of its own scope.
+    Vectors that are null, of another length, not finite or all zero are left out.
+
+    Queries of up to ``sent`` numbers in all go to every task, which passes over its vectors once and keeps ``k`` of them
+    per query.  More are cut into tiles: every tile of queries meets every tile of vectors in one task of its own.
     """
     check_top_k(k)
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     usable = (F.size("vector") == dimensions) & finite & F.exists("vector", lambda x: x != 0)
-    base = _blocks(vectors.select("id", "vector").where(usable), "base", rows)
-    asked = _blocks(queries.select("id", "vector").where(usable), "asked", rows).withColumn("block", F.monotonically_increasing_id())
-    numbered = asked.select("block").agg(F.collect_set("block").alias("blocks"))  # one number per block of queries
-    spread = base.join(F.broadcast(numbered), F.lit(True)).select("base_ids", "base_values", F.explode("blocks").alias("block"))
-    met = spread.join(asked, "block").select("base_ids", "base_values", "asked_ids", "asked_values")
+    own = (F.col(scope).cast("string") if scope else F.lit("")).alias("scope")
+    clean = lambda df: df.select("id", own, F.col("vector").cast("array<float>").alias("vector")).where(usable)
+    base, asked = clean(vectors), clean(queries)
+    most = max(sent // dimensions, 1)
+    few = asked.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        shared = vectors.sparkSession.sparkContext.broadcast(_packed(few))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked_for = [_Vectors.of(b, dimensions) for b in _unpacked(shared.value)]
+            best = _Best(k, digits)
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    block = _Vectors.of(batch.slice(at, rows), dimensions)
+                    for q in asked_for:
+                        best.meet(block, q)
+            yield best.batch()
+
+        return ranked(spread(base).mapInArrow(scan, _FOUND), k)
+
+    base_tiles = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * dimensions / sent)).alias("n")
+    sides = base.agg(base_tiles).join(asked.agg(base_tiles).toDF("m"), F.lit(True)).first()  # two numbers
+    tile = lambda df, n: df.withColumn("__tile", F.pmod(F.xxhash64("id"), F.lit(n)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("other")
+    left = tile(base, sides.n).select("*", F.lit(True).alias("held"), every(sides.m)).select("__tile", "other", "held", "id", "scope", "vector")
+    right = tile(asked, sides.m).select("*", F.lit(False).alias("held"), every(sides.n)).select(F.col("other").alias("__tile"), F.col("__tile").alias("other"), "held", "id", "scope", "vector")
+    both = left.unionByName(right).repartition(int(sides.n * sides.m), "__tile", "other").sortWithinPartitions("__tile", "other", "held")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, queries_ = None, _Best(k, digits), []
         for batch in batches:
-            for ids, values, q_ids, q_values in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                a = np.frombuffer(values).reshape(len(ids), dimensions)
-                q = np.frombuffer(q_values).reshape(len(q_ids), dimensions)
-                a = a / np.linalg.norm(a, axis=1, keepdims=True)
-                q = q / np.linalg.norm(q, axis=1, keepdims=True)
-                scores = np.round(q @ a.T, digits)
-                key = np.array(ids)
-                best = [np.lexsort((key, -s))[:k] for s in scores]
-                counts = [len(x) for x in best]
-                at = np.concatenate(best)
-                row = np.repeat(np.arange(len(q_ids)), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids)[row]), pa.array(key[at]), pa.array(scores[row, at])], names=["query_id", "id", "score"])
-
-    return ranked(met.mapInArrow(multiply, "query_id bigint, id bigint, score double"), k)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            for key, at, size in _runs(keys):
+                if key[:2] != now:
+                    yield best.batch()
+                    now, best, queries_ = key[:2], _Best(k, digits), []
+                part = batch.slice(at, size).select(["id", "scope", "vector"])
+                for start in range(0, size, rows):
+                    block = _Vectors.of(part.slice(start, rows), dimensions)
+                    if not key[2]:
+                        queries_.append(block)
+                    else:
+                        for q in queries_:
+                            best.meet(block, q)
+        yield best.batch()
+
+    return ranked(both.mapInArrow(multiply, _FOUND), k)
+
+
+def _runs(keys: list) -> Iterator[tuple]:
+    """(key, first position, length) of every run of equal keys."""
+    at = 0
+    for key, group in groupby(keys):
+        size = sum(1 for _ in group)
+        yield key, at, size
+        at += size
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows, max_chunksize=BLOCK_ROWS)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> list[pa.RecordBatch]:
+    return [b for b in pa.ipc.open_stream(data) if b.num_rows]
 
 
 def fuse(rankings: list[DataFrame], k: int = RANK_WINDOW, constant: int = RANK_CONSTANT, digits: int = 9) -> DataFrame:
@@ -130,35 +221,54 @@ def fuse(rankings: list[DataFrame], k: int = RANK_WINDOW, constant: int = RANK_C
     return ranked(every.groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score")), k)
 
 
-def hybrid(documents: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, window: int = RANK_WINDOW, constant: int = RANK_CONSTANT, make: Callable[[], Embedder] = HashedWords, dimensions: int = 64) -> DataFrame:
-    """BM25 and nearest vectors fused by rank.  ``documents``: ``(id BIGINT, text)``, ``queries``: ``(query_id BIGINT, query)``."""
+def hybrid(
+    documents: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, window: int = RANK_WINDOW, constant: int = RANK_CONSTANT,
+    make: Callable[[], Embedder] = HashedWords, dimensions: int = 64, scope: str | None = None, vectors: DataFrame | None = None,
+) -> DataFrame:
+    """BM25 and nearest vectors fused by rank.  ``documents``: ``(id BIGINT, text)``, ``queries``: ``(query_id BIGINT, query)``.
+
+    With ``scope``, a column of all tables, both rankings stay within it.  ``vectors``, ``(id, vector)``, are those stored
+    for the documents by the same model; without them the texts are embedded here.
+    """
     check_top_k(window)
     check_top_k(k, window)
-    vectors = documents.select("id", embed_column(F.col("text"), make).alias("vector"))
-    asked = queries.select(F.col("query_id").alias("id"), embed_column(F.col("query"), make).alias("vector"))
-    return fuse([bm25(documents, queries, window), nearest(vectors, asked, window, dimensions)], k, constant)
+    within = [scope] if scope else []
+    stored = vectors if vectors is not None else spread(documents.select("id", *within, "text")).select("id", *within, embed_column(F.col("text"), make).alias("vector"))
+    asked = queries.select(F.col("query_id").alias("id"), *within, embed_column(F.col("query"), make).alias("vector"))
+    return fuse([bm25(documents, queries, window, scope=scope), nearest(stored, asked, window, dimensions, scope=scope)], k, constant)
 
 
 def reranked(candidates: DataFrame, documents: DataFrame, queries: DataFrame, k: int = RANK_WINDOW, make: Callable[[], Scorer] = WordOverlap) -> DataFrame:
     """The candidates ordered anew by a scorer of (query, text); it only sees candidates, never the corpus."""
     check_top_k(k)
-    texts = candidates.select("query_id", "id").join(documents, "id").join(queries, "query_id")
+    texts = candidates.select("query_id", "id").join(documents.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
     return ranked(texts.select("query_id", "id", score_column(F.col("query"), F.col("text"), make).alias("score")), k)
 
 
-def search(chunks: DataFrame, projects: DataFrame, queries: DataFrame, k: int = 10, rerank: bool = True) -> DataFrame:
+def search(
+    chunks: DataFrame, projects: DataFrame, queries: DataFrame, k: int = 10, rerank: bool = True, make: Callable[[], Embedder] = HashedWords, dimensions: int = 64,
+    scorer: Callable[[], Scorer] = WordOverlap, embedding_version: str | None = None,
+) -> DataFrame:
     """``(query_id, id, score, rank)`` within each query's project, at its current ready version only.
 
-    ``queries``: ``(query_id BIGINT, project_id, query)``; blank queries and those over 500 code points are refused
+    Ranks by words and vectors together (``hybrid``); with ``rerank`` a scorer orders the best ``RANK_WINDOW`` of those
+    anew.  ``queries``: ``(query_id BIGINT, project_id, query)``; blank queries and those over 500 code points are refused
     and give no rows, as do projects without a ready version.  ``chunks``: ``(id BIGINT, project_id, version_id,
-    text)``; ``projects``: ``(project_id, version_id, status)``.  Corpus statistics are those of all projects asked.
+    text)``, and with an ``embedding_version`` also ``(embedding, embedding_version)``: then the stored vectors of that
+    version are searched, and chunks without one can only be found by their words.  ``projects``: ``(project_id,
+    version_id, status)``.  Corpus statistics are those of all projects asked.
     """
+    check_top_k(k, RANK_WINDOW)
     current = projects.where("status = 'ready'").select("project_id", "version_id")
     scope = chunks.join(current, ["project_id", "version_id"], "left_semi")
-    valid = queries.withColumn("query", F.trim("query")).where(F.length("query").between(1, 500)).join(current.select("project_id").distinct(), "project_id", "left_semi")
+    valid = queries.select("query_id", "project_id", F.trim("query").alias("query")).where(F.length("query").between(1, 500)).join(current.select("project_id").distinct(), "project_id", "left_semi")
     asked = scope.join(valid.select("project_id").distinct(), "project_id", "left_semi")
-    first = bm25(asked.select("id", "text", "project_id"), valid, RANK_WINDOW if rerank else k, scope="project_id")
-    return reranked(first, asked.select("id", "text"), valid.select("query_id", "query"), k) if rerank else first
+    stored = None
+    if embedding_version is not None:
+        stored = asked.where(F.col("embedding_version") == embedding_version).select("id", "project_id", F.col("embedding").alias("vector"))
+    texts = asked.select("id", "project_id", "text")
+    first = hybrid(texts, valid, RANK_WINDOW if rerank else k, make=make, dimensions=dimensions, scope="project_id", vectors=stored)
+    return reranked(first, texts, valid, k, scorer) if rerank else first
 
 
 def first_relevant_rank(rankings: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

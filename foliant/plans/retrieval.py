@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.operators import retrieval as R
+from foliant.operators.models import Letters
 from foliant.plans.registry import Catalogue
 from foliant.refs import normal_word
 from foliant.tables import table
@@ -105,23 +106,80 @@ def r3_rrf(spark, d):
     return R.fuse([_bm25(spark, d), _overlap(spark, d)])
 
 
-@_c.query()
+def _hybrid_sql(docs: str, asked: str) -> str:
+    """Both rankings of ``docs`` (doc_id, text, scope) for ``asked`` (query_id, query, scope), fused and reranked."""
+    letters = lambda c: "[" + ", ".join(f"length({c}) - length(replace({c}, '{chr(97 + i)}', ''))" for i in range(26)) + "]"
+    unit = "list_transform(x, lambda y: (y / sqrt(list_sum(list_transform(x, lambda z: z * z))))::FLOAT::DOUBLE)"
+    return rf"""
+asked AS ({asked}), docs AS ({docs}),
+wanted AS (SELECT DISTINCT query, scope, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS term FROM asked),
+tokens AS (SELECT doc_id, scope, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM docs),
+totals AS (SELECT count(*) AS n, avg(coalesce(len(w), 0)) AS avgdl FROM tokens),
+postings AS (SELECT term, doc_id, scope, dl, count(*) AS tf FROM (SELECT doc_id, scope, len(w) AS dl, unnest(w) AS term FROM tokens) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+scored AS (SELECT query, scope, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM postings JOIN freq USING (term) JOIN wanted USING (term, scope), totals GROUP BY query, scope, doc_id),
+best AS (SELECT query, scope, doc_id, row_number() OVER (PARTITION BY query, scope ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 30),
+one AS (SELECT query_id, doc_id AS id, rank FROM asked JOIN best USING (query, scope)),
+dv AS (SELECT doc_id, scope, {unit} AS v FROM (SELECT doc_id, scope, {letters('text')} AS x FROM docs WHERE text IS NOT NULL) WHERE list_sum(x) > 0),
+qv AS (SELECT query_id, scope, {unit} AS v FROM (SELECT query_id, scope, {letters('query')} AS x FROM asked) WHERE list_sum(x) > 0),
+two AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv.v, dv.v), 5) DESC, doc_id) AS rank FROM qv JOIN dv USING (scope) QUALIFY rank <= 30),
+fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (FROM one UNION ALL FROM two) GROUP BY ALL),
+hybrid AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM fused QUALIFY rank <= 30),
+share AS (SELECT query_id, id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END AS score FROM (SELECT query_id, id, list_distinct(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS q,
+  list_distinct(coalesce(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), [])) AS t FROM hybrid JOIN asked USING (query_id) JOIN docs ON doc_id = id)),
+reranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM share QUALIFY rank <= 10)
+"""
+
+
+_WHOLE = _hybrid_sql("SELECT doc_id, text, '' AS scope FROM documents", "SELECT doc_id AS query_id, title AS query, '' AS scope FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL")
+_OF_PROJECTS = _hybrid_sql(
+    "SELECT doc_id, text, lower(trim(source)) AS scope FROM documents WHERE lower(trim(source)) <> 'thimble_club' AND lower(trim(source)) IN (SELECT scope FROM asked)",
+    "SELECT doc_id AS query_id, trim(title) AS query, lower(trim(source)) AS scope FROM documents WHERE doc_id % 20 = 0 AND length(trim(title)) BETWEEN 1 AND 500 AND lower(trim(source)) NOT IN ('thimble_club', '')",
+)
+
+
+def _hybrid(spark, d):
+    return R.hybrid(_documents(spark, d), _queries(spark, d), make=Letters, dimensions=26)
+
+
+@_c.query(f"WITH {_WHOLE} SELECT query_id, id, score, rank FROM hybrid")
 def r4_hybrid(spark, d):
-    return R.hybrid(_documents(spark, d), _queries(spark, d))
+    return _hybrid(spark, d)
 
 
-@_c.query()
+@_c.query(f"WITH {_WHOLE} SELECT query_id, id, score, rank FROM reranked")
 def r5_reranked(spark, d):
-    return R.reranked(_bm25(spark, d), _documents(spark, d), _queries(spark, d), 10)
+    return R.reranked(_hybrid(spark, d), _documents(spark, d), _queries(spark, d), 10)
 
 
-@_c.query()
-def r6_search(spark, d):
+def _search(spark, d, rerank):
     docs = table(spark, d, "documents").withColumn("project_id", normal_word("source")).withColumn("version_id", F.col("project_id"))
     chunks = docs.select(F.col("doc_id").alias("id"), "project_id", "version_id", "text")
     projects = docs.select("project_id", "version_id", F.when(F.col("project_id") == "thimble_club", "processing").otherwise("ready").alias("status")).where("project_id is not null").distinct()
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "project_id", F.col("title").alias("query"))
-    return R.search(chunks, projects, asked)
+    return R.search(chunks, projects, asked, rerank=rerank, make=Letters, dimensions=26)
+
+
+@_c.query(f"WITH {_OF_PROJECTS} SELECT query_id, id, score, rank FROM reranked")
+def r6_search(spark, d):
+    return _search(spark, d, True)
+
+
+@_c.query(f"WITH {_OF_PROJECTS} SELECT query_id, id, score, rank FROM hybrid WHERE rank <= 10")
+def r6_search_unreranked(spark, d):
+    return _search(spark, d, False)
+
+
+def _labelled_knn(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return R.nearest(e, e.where("id % 20 = 0"), scope="label")
+
+
+@_c.query("""SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id)::INTEGER AS rank FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 20 = 0 QUALIFY rank <= 30""")
+def r2_scoped_knn(spark, d):
+    return _labelled_knn(spark, d)
 
 
 @_c.query(f"WITH {_KNN}, {_RELEVANT} SELECT query_id, min(CASE WHEN r.id IS NOT NULL THEN rank END) AS rank FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN knn USING (query_id) LEFT JOIN rel r USING (query_id, id) GROUP BY query_id")

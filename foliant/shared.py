@@ -80,5 +80,19 @@ class Workspace:
             _delete(self.spark, path)
 
 
+SMALL_TASK = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, read from files, over all cores if it is too small to fill them.
+
+    A file with one row group is one task however much work its rows are.  Only inputs of less than ``SMALL_TASK``
+    bytes a core are moved; larger ones come in tasks enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_TASK else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -29,20 +29,33 @@ def test_ties_go_by_id_and_k_is_checked(spark):
         R.bm25(docs, queries, 0)
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("sent", [R.SENT_VALUES, 24])
+def test_nearest_against_brute_force(spark, sent):
+    """The second way cuts queries of more than 3 vectors and the vectors into tiles of 3."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).astype("float32")
     data = [(i, x.tolist(), "") for i, x in enumerate(v)] + [(900, None, ""), (901, [1.0], ""), (902, [0.0] * 8, ""), (903, [float("nan")] * 8, "")]
     df = frame(spark, "id long, vector array<float>, block string", data)
-    found = R.nearest(df, df.where("id % 50 = 0"), 7, 8, rows=32)
+    found = R.nearest(df, df.where("id % 50 = 0"), 7, 8, rows=32, sent=sent)
     unit = v.astype("float64") / np.linalg.norm(v.astype("float64"), axis=1, keepdims=True)
     for q in range(0, 300, 50):
         s = np.round(unit @ unit[q], 5)
         best = sorted(range(300), key=lambda i: (-s[i], i))[:7]
         assert [r.id for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] == best
-    assert R.nearest(df.limit(0), df, 3, 8).count() == 0 == R.nearest(df, df.limit(0), 3, 8).count()
+    assert R.nearest(df.limit(0), df, 3, 8, sent=sent).count() == 0 == R.nearest(df, df.limit(0), 3, 8, sent=sent).count()
+    scoped = R.nearest(df.withColumn("s", F.col("id") % 3), df.where("id % 50 = 0").withColumn("s", F.col("id") % 3), 7, 8, rows=32, scope="s", sent=sent)
+    for q in range(0, 300, 50):
+        s = np.round(unit @ unit[q], 5)
+        best = sorted((i for i in range(300) if i % 3 == q % 3), key=lambda i: (-s[i], i))[:7]
+        assert [r.id for r in scoped.where(F.col("query_id") == q).orderBy("rank").collect()] == best
+
+
+def test_nearest_ties_go_by_id(spark):
+    df = frame(spark, "id long, vector array<float>", [(i, [1.0, 0.0]) for i in range(50)] + [(90, [1.0, 1.0])])
+    for sent in (R.SENT_VALUES, 4):
+        assert [(r.id, r.rank) for r in R.nearest(df, df.where("id = 90 or id = 7"), 3, 2, rows=8, sent=sent).where("query_id = 7").orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
 
 
 def test_fusion(spark):
@@ -81,6 +94,19 @@ def test_search_stays_in_scope(spark):
     assert [(r.query_id, r.id) for r in R.search(chunks, projects, asked, rerank=False).collect()] == [(1, 2)]
 
 
+def test_search_ranks_by_words_and_stored_vectors(spark):
+    """Without a shared word a chunk is found by its vector of the asked version only."""
+    unit = lambda at: [1.0 if i == at else 0.0 for i in range(26)]
+    chunks = frame(spark, "id long, project_id string, version_id string, text string, embedding array<float>, embedding_version string", [
+        (1, "p", "v", "zzz", unit(0), "m1"), (2, "p", "v", "aaa word", unit(25), "m1"), (3, "p", "v", "yyy", unit(0), "m2"), (4, "p", "v", None, None, None),
+    ])
+    projects = frame(spark, "project_id string, version_id string, status string", [("p", "v", "ready")])
+    asked = frame(spark, "query_id long, project_id string, query string, text string", [(1, "p", "aaa", "clash")])
+    found = lambda version: [r.id for r in R.search(chunks, projects, asked, rerank=False, make=M.Letters, dimensions=26, embedding_version=version).orderBy("rank").collect()]
+    assert found("m1") == [2, 1] and found("m2") == [2, 3] and found("m3") == [2]
+    assert [r.id for r in R.search(chunks, projects, asked, make=M.Letters, dimensions=26).orderBy("rank").collect()][0] == 2
+
+
 def test_metrics(spark):
     ranking = frame(spark, "query_id long, id long, rank int", [(1, 5, 1), (1, 6, 2), (2, 7, 2)])
     relevant = frame(spark, "query_id long, id long", [(1, 5), (2, 7), (2, 8), (1, 5)])
