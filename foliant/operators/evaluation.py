@@ -103,6 +103,61 @@ def boundary_scores(predicted: DataFrame, expected: DataFrame, keys: list[str])
     return n.select("tp", "fp", "fn", p, r, F.coalesce(f1, F.lit(0.0)).alias("f1"))
 
 
+def usage_counts(calls: DataFrame, usage: str, *by: str) -> DataFrame:
+    """``(by…, call, key, tokens)``: the counts that a call's usage map states; only whole numbers from 0 on are counts.
+
+    ``usage``: a column of JSON objects, ``call`` a column that tells the calls apart.
+    """
+    stated = calls.select(*by, "call", F.explode(F.from_json(usage, "map<string,string>")).alias("key", "said"))
+    return stated.where(F.col("said").rlike("^[0-9]{1,18}$")).select(*by, "call", "key", F.col("said").cast("long").alias("tokens"))
+
+
+def usage_sums(calls: DataFrame, usage: str, *by: str) -> DataFrame:
+    """``(by…, key, total)``: tokens by key over all calls; true, false, negative and broken numbers do not count."""
+    return usage_counts(calls, usage, *by).groupBy(*by, "key").agg(F.sum("tokens").alias("total"))
+
+
+def token_costs(calls: DataFrame, usage: str, prices: dict[str, float], *by: str) -> DataFrame:
+    """``(by…, calls, cost)``: tokens times their price a million, null if any call of the group lacks a priced count."""
+    counts = usage_counts(calls, usage, *by).where(F.col("key").isin(*prices))
+    price = F.create_map(*(F.lit(x) for pair in prices.items() for x in pair))
+    per = counts.groupBy(*by, "call").agg(F.count_distinct("key").alias("stated"), F.sum(F.col("tokens") * F.element_at(price, F.col("key")) / 1e6).alias("cost"))
+    every = calls.select(*by, "call").distinct().join(per, [*by, "call"], "left")
+    complete = F.bool_and(F.coalesce(F.col("stated") == len(prices), F.lit(False)))
+    return every.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.when(complete, F.round(F.sum("cost"), 6)).alias("cost"))
+
+
+def call_rates(calls: DataFrame, *by: str) -> DataFrame:
+    """Rates of calls ``(repairs, error, decision, fallback)``: repaired, accepted at once, failed, left to review, fallen back.
+
+    ``fallback`` says whether another model answered; its rate is null unless it is known of every call.
+    """
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    good = F.col("error").isNull()
+    return calls.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("calls"), share(F.col("repairs") > 0).alias("repair_rate"), share(good & (F.col("repairs") == 0)).alias("first_pass_rate"),
+        share(~good).alias("error_rate"), share(F.coalesce(F.col("decision") == "needs_review", F.lit(False))).alias("review_rate"),
+        F.when(F.bool_and(F.col("fallback").isNotNull()), share(F.col("fallback"))).alias("fallback_rate"),
+    )
+
+
+def candidate_recall(pairs: DataFrame, positives: DataFrame, *by: str) -> DataFrame:
+    """``(by…, positives, generated, recall)``: how many of the true pairs ``(by…, left_id, right_id)`` are among the generated ones."""
+    keys = [*by, "left_id", "right_id"]
+    met = positives.select(*keys).distinct().join(pairs.select(*keys).distinct().withColumn("__made", F.lit(1)), keys, "left")
+    sums = met.groupBy(*by).agg(F.count(F.lit(1)).alias("positives"), F.count("__made").alias("generated"))
+    return sums.withColumn("recall", F.round(F.try_divide("generated", "positives"), 6))
+
+
+def arm_comparison(rows: DataFrame, *by: str) -> DataFrame:
+    """``(by…, n, baseline_accuracy, candidate_accuracy, gain, fixed, broken)`` of rows ``(expected, baseline, candidate)``; no answer is a wrong one."""
+    right = lambda c: F.coalesce(F.col(c) == F.col("expected"), F.lit(False))
+    a, b = right("baseline"), right("candidate")
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.count_if(b & ~a).alias("fixed"), F.count_if(a & ~b).alias("broken"))
+    share = lambda c, n: F.round(c / F.col("n"), 6).alias(n)
+    return sums.select(*by, "n", share(F.col("a"), "baseline_accuracy"), share(F.col("b"), "candidate_accuracy"), share(F.col("b") - F.col("a"), "gain"), "fixed", "broken")
+
+
 def located(rows: DataFrame, ref: str) -> Column:
     """Start of a reference ``{text, occurrence}`` in ``text``, counted in whole words from 0; null if it is not there."""
     word = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col(f"{ref}.text"), F.lit(r"\E(?![\p{L}\p{N}_])"))

@@ -98,6 +98,14 @@ def latest(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def timeline(events: DataFrame, participant: Column | None = None, location: Column | None = None, kind: Column | None = None) -> DataFrame:
+    """Events ``(participants, locations, event_type, …)`` that agree with every filter given; an event without a list has no member of it."""
+    for value, keep in ((participant, lambda v: F.array_contains("participants", v)), (location, lambda v: F.array_contains("locations", v)), (kind, lambda v: F.col("event_type") == v)):
+        if value is not None:
+            events = events.where(F.coalesce(keep(value), F.lit(False)))
+    return events
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, share: float) -> DataFrame:
     """``(group, value)``: per group the value at index ``(n - 1) * share`` rounded half to even, nulls left out."""
     rows = numbered_within(df.where(F.col(value).isNotNull()).select(group, value), [group], [value])

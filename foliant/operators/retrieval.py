@@ -277,17 +277,21 @@ def first_relevant_rank(rankings: DataFrame, relevant: DataFrame, queries: DataF
     return queries.select("query_id").join(hit, "query_id", "left")
 
 
-def retrieval_metrics(rankings: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (1, 5, 10, 20, 30), mrr_at: int = 10, digits: int = 6) -> DataFrame:
-    """One row: the number of queries with relevant ids, mean recall at every cut and mean reciprocal rank."""
-    known = relevant.select("query_id", "id").distinct()
-    sizes = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+def retrieval_metrics(rankings: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (1, 5, 10, 20, 30), mrr_at: int = 10, digits: int = 6, by: list[str] | None = None) -> DataFrame:
+    """The number of queries with relevant ids, mean recall at every cut and mean reciprocal rank, in one row or one per ``by``.
+
+    ``by`` are columns of ``relevant`` that a query has one value of.
+    """
+    by = by or []
+    known = relevant.select("query_id", "id", *by).distinct()
+    sizes = known.groupBy("query_id", *by).agg(F.count(F.lit(1)).alias("n"))
     hits = rankings.join(known, ["query_id", "id"], "left_semi").groupBy("query_id").agg(
         *(F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in cuts), F.min("rank").alias("rank")
     )
     per = sizes.join(hits, "query_id", "left")
     recall = [F.round(F.avg(F.coalesce(F.col(f"hit_{k}"), F.lit(0)) / F.col("n")), digits).alias(f"recall_at_{k}") for k in cuts]
     reciprocal = F.when(F.col("rank") <= mrr_at, F.lit(1.0) / F.col("rank")).otherwise(0.0)
-    return per.agg(F.count(F.lit(1)).alias("query_count"), *recall, F.round(F.avg(reciprocal), digits).alias(f"mrr_at_{mrr_at}"))
+    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("query_count"), *recall, F.round(F.avg(reciprocal), digits).alias(f"mrr_at_{mrr_at}"))
 
 
 def rank_changes(before: DataFrame, after: DataFrame, missing: int = RANK_WINDOW + 1) -> DataFrame:

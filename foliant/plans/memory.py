@@ -177,6 +177,35 @@ def q9_events(spark, d):
                         (F.col("place") + 1).cast("int").alias("place"))
 
 
+_EVENTS = f"""{_PAIRS}, {_CH}, ev AS (SELECT pr.version_id, pr.id AS event_id, [s1, s2] AS participants, CASE WHEN t1 IN ('location', 'gpe', 'facility') THEN [s1] ELSE [] END AS locations, CASE WHEN o % 6 = 0 THEN 'movement' ELSE 'other_major' END AS event_type, ordinal, o
+  FROM pr JOIN place p USING (chunk_id) JOIN ch ON ch.chapter_id = p.chapter_id),
+wanted AS (SELECT version_id, min(s2) AS who, min(s1) FILTER (t1 IN ('location', 'gpe', 'facility')) AS spot FROM pr GROUP BY 1)"""
+
+
+def _events(spark, d):
+    """Events with the participant and the place that their version's reader asks for."""
+    place = F.col("t1").isin("location", "gpe", "facility")
+    p = pairs(spark, d)
+    wanted = p.groupBy("version_id").agg(F.min("s2").alias("who"), F.min(F.when(place, F.col("s1"))).alias("spot"))
+    rows = p.join(places(spark, d), "chunk_id").join(chapters(spark, d).select("chapter_id", "ordinal"), "chapter_id").join(wanted, "version_id")
+    locations = F.when(place, F.array("s1")).otherwise(F.array().cast("array<string>"))
+    kind = F.when(F.col("o") % 6 == 0, "movement").otherwise("other_major")
+    return rows.select("version_id", F.col("id").alias("event_id"), F.array("s1", "s2").alias("participants"), locations.alias("locations"), kind.alias("event_type"), "ordinal", "o", "who", "spot")
+
+
+@_c.query(f"WITH {_EVENTS} SELECT version_id, event_id FROM ev JOIN wanted USING (version_id) WHERE list_contains(participants, who)")
+def f13_array_membership(spark, d):
+    return L.timeline(_events(spark, d), participant=F.col("who")).select("version_id", "event_id")
+
+
+@_c.query(f"""WITH {_EVENTS} SELECT version_id, event_id, row_number() OVER (PARTITION BY version_id ORDER BY ordinal NULLS LAST, o NULLS LAST, event_id)::INTEGER AS place
+FROM ev JOIN wanted USING (version_id) WHERE list_contains(locations, spot) AND event_type = 'other_major'""")
+def q12_timeline(spark, d):
+    found = L.timeline(_events(spark, d), location=F.col("spot"), kind=F.lit("other_major")).select("version_id", "event_id", "ordinal", "o")
+    placed = L.numbered_within(found, ["version_id"], [F.col("ordinal").asc_nulls_last(), F.col("o").asc_nulls_last(), "event_id"], name="place")
+    return placed.select("version_id", "event_id", (F.col("place") + 1).cast("int").alias("place"))
+
+
 @_c.query(f"""WITH {_PAIRS}, e AS (SELECT id, arg_max(coalesce(canonical_name, 'Unknown entity'), updated_at) AS name FROM entities GROUP BY id)
 SELECT pr.id, a.name || ' — works for — ' || b.name AS name FROM pr JOIN e a ON a.id = e1 JOIN e b ON b.id = e2 WHERE e1 <> e2""")
 def q10_relationships(spark, d):

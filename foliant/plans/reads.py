@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as X
 from foliant.operators import relational as L
 from foliant.plans.changes_and_trees import _WALK
+from foliant.operators import experiments as P
+from foliant.plans.incremental import SUITES
 from foliant.plans.registry import Catalogue
 from foliant.plans.relational import _CURRENT, _current, versions
 from foliant.plans.resolution import _CA, _CH, _MN, _ROOTS, _roots, candidates, chapters, mentions
@@ -79,13 +81,23 @@ def q6_entity_evidence(spark, d):
     return rows.withColumn("n", place).where("n <= 20").select("root_id", F.col("id").alias("mention_id"), "ordinal", "start_offset")
 
 
-@_c.query("SELECT event_type, count(*)::BIGINT AS runs, max(ts) AS newest, count(*) FILTER (value > 100)::BIGINT AS failures FROM events GROUP BY 1")
+_EXPERIMENTS = f"""{_CA}, r AS (SELECT ca.version_id AS run_id, CASE WHEN v.version_number % 2 = 0 THEN 'resolution' WHEN v.version_number % 3 = 0 THEN 'retired' ELSE 'extraction' END AS suite, ca.* FROM ca JOIN (SELECT DISTINCT id AS vid, version_number FROM manuscript_versions) v ON vid = ca.version_id)"""
+
+
+def _answers(spark, d):
+    """The answers of a version as one run of a suite."""
+    n = F.col("version_number")
+    suite = F.when(n % 2 == 0, "resolution").when(n % 3 == 0, "retired").otherwise("extraction")
+    runs = versions(spark, d).select(F.col("id").alias("version_id"), suite.alias("suite"))
+    return candidates(spark, d).join(runs, "version_id").withColumn("run_id", F.col("version_id"))
+
+
+@_c.query(f"""WITH {_EXPERIMENTS} SELECT run_id, suite, max(created_at) AS created_at, count(*)::BIGINT AS answers, count(error_code)::BIGINT AS failures FROM r WHERE suite IN ('resolution', 'extraction') GROUP BY 1, 2 ORDER BY created_at DESC, run_id DESC LIMIT 50""")
 def q11_experiments(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.max("ts").alias("newest"), F.count_if(F.col("value") > 100).alias("failures"))
+    runs = _answers(spark, d).groupBy("run_id", "suite").agg(F.max("created_at").alias("created_at"), F.count(F.lit(1)).alias("answers"), F.count("error_code").alias("failures"))
+    return P.newest_runs(runs, SUITES.entries)
 
 
-@_c.query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN props END NULLS LAST, event_id)::INTEGER AS place FROM events WHERE event_type IN ('view', 'click', 'purchase')")
-def q12_timeline(spark, d):
-    stated = F.when(F.col("value") > 50, F.col("props"))
-    order = Window.partitionBy("user_id").orderBy(stated.asc_nulls_last(), "event_id")
-    return table(spark, d, "events").where(F.col("event_type").isin("view", "click", "purchase")).select("user_id", "event_id", F.row_number().over(order).alias("place"))
+@_c.query(f"WITH {_EXPERIMENTS} SELECT run_id, id, error_code AS error FROM (SELECT DISTINCT run_id, id, error_code FROM r WHERE error_code IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY id, error_code) <= 20")
+def q11_failures(spark, d):
+    return P.failures(_answers(spark, d), "run_id", "id", F.col("error_code"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
+from foliant.operators import evaluation as V
 from foliant.operators import relational as L
 from foliant.operators.deliveries import newest_rows
 from foliant.plans.deliveries import ref_sql
@@ -132,12 +133,6 @@ def f12_facets(spark, d):
     return facets(mentions(spark, d).where("scene_id is not null"), entity_type="location", chunk_id=None).select("id")
 
 
-@_c.query(f"WITH {_CA} SELECT DISTINCT id FROM ca WHERE list_contains(evidence_ids, evidence_ids[1]) AND llm_decision = 'merge'")
-def f13_array_membership(spark, d):
-    rows = candidates(spark, d).where("size(evidence_ids) > 0 and llm_decision = 'merge'")
-    return rows.where(F.array_contains("evidence_ids", F.element_at("evidence_ids", 1))).select("id").distinct()
-
-
 @_c.query("SELECT DISTINCT id, title FROM chapters WHERE contains(title, 'Chapter 1')")
 def f14_title_contains(spark, d):
     return table(spark, d, "chapters").where(F.col("title").contains("Chapter 1")).select("id", "title").distinct()
@@ -293,11 +288,28 @@ def a6b_nearest_rank(spark, d):
     return L.nearest_rank(table(spark, d, "events"), "event_type", "value", 0.95).select("event_type", F.round("value", 6).alias("p95"))
 
 
-@_c.query("SELECT event_type, k, sum(v)::BIGINT AS total FROM (SELECT event_type, 'k' AS k, (props->>'k')::INTEGER AS v FROM events) WHERE v >= 0 GROUP BY 1, 2")
+#: What calls report: some a count that is none, some a second count.
+_USAGE = """CASE WHEN event_id % 97 = 0 THEN '{"prompt": -3, "completion": true}' WHEN event_type = 'error' AND event_id % 5 = 0 THEN '{"prompt": ' || (props->>'k') || '}'
+  ELSE '{"prompt": ' || (props->>'k') || ', "completion": ' || (event_id % 50) || '}' END"""
+
+
+def _calls(spark, d):
+    k, e = F.get_json_object("props", "$.k"), F.col("event_id")
+    whole = F.concat(F.lit('{"prompt": '), k, F.lit(', "completion": '), (e % 50).cast("string"), F.lit("}"))
+    usage = F.when(e % 97 == 0, '{"prompt": -3, "completion": true}').when((F.col("event_type") == "error") & (e % 5 == 0), F.concat(F.lit('{"prompt": '), k, F.lit("}"))).otherwise(whole)
+    return table(spark, d, "events").select("event_type", e.alias("call"), "user_id", usage.alias("usage"))
+
+
+@_c.query(f"""WITH u AS (SELECT event_type, event_id, {_USAGE} AS j FROM events), v AS (SELECT event_type, unnest(['prompt', 'completion']) AS key, unnest([j->>'prompt', j->>'completion']) AS said FROM u)
+SELECT event_type, key, sum(said::BIGINT)::BIGINT AS total FROM v WHERE regexp_full_match(said, '[0-9]+') GROUP BY 1, 2""")
 def a11_usage_sums(spark, d):
-    usage = F.from_json("props", "map<string,int>")
-    rows = table(spark, d, "events").select("event_type", F.explode(usage).alias("k", "v")).where("v >= 0")
-    return rows.groupBy("event_type", "k").agg(F.sum("v").alias("total"))
+    return V.usage_sums(_calls(spark, d), "usage", "event_type")
+
+
+@_c.query(f"""WITH u AS (SELECT user_id, event_id, {_USAGE} AS j FROM events), c AS (SELECT user_id, event_id, CASE WHEN regexp_full_match(j->>'prompt', '[0-9]+') THEN (j->>'prompt')::BIGINT END AS p, CASE WHEN regexp_full_match(j->>'completion', '[0-9]+') THEN (j->>'completion')::BIGINT END AS q FROM u)
+SELECT user_id, count(*)::BIGINT AS calls, CASE WHEN bool_and(p IS NOT NULL AND q IS NOT NULL) THEN round(sum(p * 250.0::DOUBLE / 1e6 + q * 1000.0::DOUBLE / 1e6), 6) END AS cost FROM c GROUP BY 1""")
+def a11_token_costs(spark, d):
+    return V.token_costs(_calls(spark, d), "usage", {"prompt": 250.0, "completion": 1000.0}, "user_id")
 
 
 @_c.query("SELECT id, n::BIGINT AS n FROM (SELECT id, count(*) AS n FROM chapters GROUP BY id) WHERE n > 1")
@@ -439,8 +451,3 @@ def u5_id_sets(spark, d):
 @_c.query("SELECT DISTINCT entity_type, prompt_version FROM entity_mentions")
 def u6_facets(spark, d):
     return table(spark, d, "entity_mentions").select("entity_type", "prompt_version").distinct()
-
-
-@_c.query("SELECT (doc_id % 4)::BIGINT AS shard, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
-def u7_shard_coverage(spark, d):
-    return table(spark, d, "documents").groupBy((F.col("doc_id") % 4).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))

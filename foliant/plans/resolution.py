@@ -262,12 +262,19 @@ _MEMB = """memb AS (SELECT chapter_id, start_offset || '-' || end_offset AS span
 one AS (SELECT chapter_id, span, count(DISTINCT cluster) AS n, min(cluster) AS c FROM memb GROUP BY ALL)"""
 
 
+def clustered_mentions(spark, d):
+    """Mentions with their span and the stand-in cluster that holds it."""
+    return mentions(spark, d).select(
+        "id", "chapter_id", "surface_text", "entity_type", F.concat_ws("-", F.col("start_offset").cast("string"), F.col("end_offset").cast("string")).alias("span"),
+        F.concat_ws(":", "entity_type", F.floor(F.col("start_offset") / 2000).cast("string")).alias("cluster"),
+    )
+
+
 @_c.query(f"""WITH {_SRC}, {_MEMB}, p AS (SELECT DISTINCT ca.id AS pair_id, a.chapter_id, a.start_offset || '-' || a.end_offset AS ls, b.start_offset || '-' || b.end_offset AS rs
   FROM ca JOIN mn a ON a.id = ca.l JOIN mn b ON b.id = ca.r WHERE a.chapter_id = b.chapter_id)
 SELECT pair_id, coalesce(x.n = 1 AND y.n = 1 AND x.c = y.c, false) AS same FROM p LEFT JOIN one x ON x.chapter_id = p.chapter_id AND x.span = ls LEFT JOIN one y ON y.chapter_id = p.chapter_id AND y.span = rs""")
 def e9_same_cluster(spark, d):
-    m = mentions(spark, d).select("id", "chapter_id", F.concat_ws("-", F.col("start_offset").cast("string"), F.col("end_offset").cast("string")).alias("span"),
-                                  F.concat_ws(":", "entity_type", F.floor(F.col("start_offset") / 2000).cast("string")).alias("cluster"))
+    m = clustered_mentions(spark, d)
     a, b = m.select(F.col("id").alias("l"), "chapter_id", F.col("span").alias("left_span")), m.select(F.col("id").alias("r"), "chapter_id", F.col("span").alias("right_span"))
     pairs = candidates(spark, d).select(F.col("id").alias("pair_id"), "l", "r").join(a, "l").join(b, ["r", "chapter_id"]).select("pair_id", "chapter_id", "left_span", "right_span").distinct()
     return E.same_cluster(pairs, m.select("chapter_id", "span", "cluster"))

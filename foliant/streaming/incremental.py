@@ -1,7 +1,7 @@
 """Incremental ingestion: bounded slices, redelivery, supersession and fences.
 
 A stream reads what has arrived, a bounded number of files at a time, and stops; each micro-batch writes its own
-folder, so a batch that is repeated after a failure replaces itself.
+folders, so a batch that is repeated after a failure replaces itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from foliant.operators.relational import latest
+from foliant.shared import Workspace
 from foliant.sources.sinks import exists
 
 
@@ -24,18 +25,26 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, keys: list[str]) -> Dat
 
 def ingest(
     spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, keys: list[str], files_per_slice: int = 20,
-    transform: Callable[[DataFrame], DataFrame] = lambda df: df, name_filter: str = "*",
+    transform: Callable[[DataFrame], DataFrame] = lambda df: df, name_filter: str = "*", buckets: int = 64,
 ) -> None:
     """Takes in all files of ``source`` that were not read before and returns.
 
-    ``target`` holds one folder per slice, ``slice=<batch>``; rows whose keys an earlier slice has are left out.
-    ``name_filter`` is a glob of file names.
+    ``target`` holds one folder per bucket of keys and slice, ``bucket=<b>/slice=<batch>``; rows whose keys an earlier slice
+    has are left out.  A slice only reads the key columns of the buckets that it has rows for, so keep slices small beside
+    ``buckets`` where the target is large.  ``name_filter`` is a glob of file names.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_slice).option("pathGlobFilter", name_filter).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = spark.read.parquet(target).where(F.col("slice") != number) if exists(spark, target) else None
-        new_rows(transform(batch), stored, keys).write.mode("overwrite").parquet(f"{target}/slice={number}")
+        space = Workspace(spark, "slice")
+        rows = space.keep(transform(batch).dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("slice", F.lit(number)))
+        stored = None
+        if exists(spark, target):
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            stored = spark.read.schema(rows.schema).parquet(target).where(F.col("bucket").isin(*touched) & (F.col("slice") != number))
+        fresh = new_rows(rows, stored, keys)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "slice").parquet(target)
+        space.drop(rows)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
