@@ -3,8 +3,8 @@
 Names become sparse vectors of character bigrams and trigrams, weighted by inverse document frequency over all names.
 Those of common tokens (given names, kinds of organizations, initials) weigh less.  A join within a block on the n-grams
 before a tail too small to reach the threshold finds all pairs that can, and the full vectors' cosine decides.  A check
-of the tokens follows (typos, initials, short forms, abbreviations, order), and entities are grouped by average-linkage
-clustering of the best similarities of their names.
+of the tokens follows (typos, initials, short forms, abbreviations, order) that only says yes or no, and entities are
+grouped by average-linkage clustering of the best cosines of their names.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
+from foliant.operators.relational import numbered_within
 from foliant.refs import normal_ref, normal_word
 from foliant.shared import Workspace, is_empty
 
@@ -37,7 +38,7 @@ COMMON_SHARE = 0.002  # a token in more of all names than this is common: there
 COMMON_LEAST = 20  # and in at least so many names
 COMMON_WEIGHT = 0.4  # of a common token's n-grams beside those of a rare one
 MIN_COSINE = 0.12  # of names, for a pair to be checked
-MIN_LINK = 0.5  # average similarity of two clusters that still merge
+MIN_LINK = 0.51  # average similarity of two clusters that still merge: over a half, see ``similarity``
 LARGEST_COMPONENT = 4000  # nodes that one task clusters at once; larger components are merged in rounds of groups of so many
 
 _token = re.compile(r"[^\W_]+").findall
@@ -211,6 +212,15 @@ def leading(values: np.ndarray, least: float) -> tuple[int, float]:
     return kept, float(tails[kept])
 
 
+def similarity(cosine: float) -> float:
+    """Its cube root: names with typos lie near equal ones, and only what the tokens refuse lies far off.
+
+    A form that fits two bearers (an initial, a short form, a family name alone) lies between them, and a cluster of
+    it with one is at most a half near to the other.
+    """
+    return cosine ** (1 / 3)
+
+
 def cosine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     return float(a[1][i] @ b[1][j])
@@ -269,7 +279,9 @@ def _document_frequencies(canons: DataFrame, forms: dict[str, frozenset[str]], c
 
 
 def similar_names(distinct: DataFrame, forms: dict[str, frozenset[str]], space: Workspace, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """``(a, b, sim)`` with ``a < b``: ids of distinct names of one block that agree, with no cap on partners.
+    """``(a, b, sim)`` with ``a < b``: ids of distinct names of one block whose cosine is ``min_cosine`` or more and whose tokens agree.
+
+    There is no cap on partners; ``sim`` is the ``similarity`` of the cosine.
 
     ``distinct``: ``(name_id, block, kind, canon)``, one row per name of a block.
     """
@@ -298,9 +310,10 @@ def similar_names(distinct: DataFrame, forms: dict[str, frozenset[str]], space:
 
     block = F.xxhash64("block").alias("block")
     rows = distinct.select("name_id", block, "canon").mapInArrow(vectors, "id bigint, key bigint, part float, tail float")
-    met = rows.toDF("a", "key", "p", "s").join(rows.toDF("b", "key", "q", "t"), "key").where("a < b")
+    # Spark takes what comes from Python for as small as what went in, so this join is told to shuffle
+    met = rows.toDF("a", "key", "p", "s").hint("merge").join(rows.toDF("b", "key", "q", "t"), "key").where("a < b")
     found = met.groupBy("a", "b").agg(F.sum(F.col("p").cast("double") * F.col("q")).alias("reached"), F.max(F.greatest("s", "t")).alias("tail"))
-    pairs = found.where(F.col("reached") + F.col("tail") >= min_cosine - 1e-5).select("a", "b", "reached")
+    pairs = found.where(F.col("reached") + F.col("tail") >= min_cosine - 1e-5).select("a", "b")
     text = distinct.select("name_id", block, "kind", "canon")
     first = pairs.join(text.toDF("a", "block", "kind", "x"), "a")
     both = first.join(text.select(F.col("name_id").alias("b"), F.col("block").alias("other"), F.col("canon").alias("y")), "b").where("block = other")
@@ -321,13 +334,13 @@ def similar_names(distinct: DataFrame, forms: dict[str, frozenset[str]], space:
             if len(full) > 20_000:
                 full.clear()
             sims = [likeness(tuple(x.split(" ")), tuple(y.split(" ")), forms, kind == "organization", memo) for kind, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            for i in np.flatnonzero((np.array(sims) > 0) & (batch.column(5).to_numpy() < min_cosine + 1e-5)).tolist():  # what the tails add decides
-                if cosine(vector(batch.column(3)[i].as_py()), vector(batch.column(4)[i].as_py())) < min_cosine:
-                    sims[i] = 0.0
+            for i in np.flatnonzero(np.array(sims) > 0).tolist():
+                near = cosine(vector(batch.column(3)[i].as_py()), vector(batch.column(4)[i].as_py()))
+                sims[i] = similarity(min(near, 1.0)) if near >= min_cosine else 0.0
             done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
             yield done.filter(pa.array([s > 0 for s in sims], pa.bool_()))
 
-    return both.select("a", "b", "kind", "x", "y", "reached").mapInArrow(check, "a bigint, b bigint, sim double")
+    return both.select("a", "b", "kind", "x", "y").mapInArrow(check, "a bigint, b bigint, sim double")
 
 
 def average_linkage(weights: dict[int, int], sims: dict[tuple[int, int], float], least: float, fixed: frozenset[int] = frozenset()) -> dict[int, int]:
@@ -424,7 +437,7 @@ def _clusters(nodes: DataFrame, edges: DataFrame, space: Workspace, least: float
     elsewhere, and the merged clusters are nodes of the next round.
     """
     parts = space.keep(connected_components(edges.where(F.col("sim") >= least).select("src", "dst"), space))
-    sized = parts.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("component")))
+    sized = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
     fit = sized.where(F.col("members") <= LARGEST_COMPONENT).select("node", F.col("component").alias("part"))
     loose = edges.join(fit.withColumnRenamed("node", "src"), "src").withColumn("beside", F.lit(None).cast("long"))
     done = _linked(fit.join(nodes, "node"), loose, least)
@@ -436,8 +449,8 @@ def _clusters(nodes: DataFrame, edges: DataFrame, space: Workspace, least: float
     links = edges.join(large.toDF("src", "component"), "src").join(large.toDF("dst", "other"), "dst").where("component = other").select("src", "dst", "sim")
     links = space.keep(links)
     moved = space.keep(_merged(weights, links, space, least))
-    whole = moved.join(weights, "node").withColumn("whole", F.sum("weight").over(Window.partitionBy("cluster")))
-    whole = space.keep(whole.select("node", "cluster", "weight", "whole"))
+    whole = space.keep(moved.join(weights, "node"))
+    whole = space.keep(whole.join(whole.groupBy("cluster").agg(F.sum("weight").alias("whole")), "cluster").select("node", "cluster", "weight", "whole"))
     met = links.join(whole.toDF("src", "a", "v", "whole_a"), "src").join(whole.toDF("dst", "b", "w", "whole_b"), "dst").where("a <> b")
     total = F.sum(F.col("sim") * F.col("v") * F.col("w")) / F.first(F.col("whole_a").cast("double") * F.col("whole_b"))
     links = space.keep(met.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(total.alias("sim")))
@@ -456,8 +469,8 @@ def _merged(weights: DataFrame, links: DataFrame, space: Workspace, least: float
     rank = F.struct((-F.col("sim")).alias("s"), F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
     best = space.keep(ends.where(F.col("sim") >= least).groupBy(F.col("src").alias("node")).agg(F.min(rank).alias("e")))
     trees = connected_components(best.select(F.col("e.x").alias("src"), F.col("e.y").alias("dst")), space)
-    place = F.row_number().over(Window.partitionBy("component").orderBy("e", "node")) - 1
-    groups = best.join(trees, "node").select("node", F.xxhash64("component", F.floor(place / LARGEST_COMPONENT)).alias("part"))
+    placed = numbered_within(best.join(trees, "node"), ["component"], ["e", "node"], space, "place")
+    groups = placed.select("node", F.xxhash64("component", F.floor(F.col("place") / LARGEST_COMPONENT)).alias("part"))
     groups = space.keep(groups.join(weights, "node"))
     beside = ends.join(groups.select(F.col("node").alias("src"), "part"), "src").join(weights.toDF("dst", "beside"), "dst")
     return _linked(groups, beside, least)
@@ -477,7 +490,8 @@ def linked_entities(names: DataFrame, forms: list[tuple[str, str]], min_cosine:
     signed = canons.groupBy("entity").agg(
         F.bit_xor("name_id").alias("x"), F.sum(F.shiftright("name_id", 32)).alias("s"), F.min("entity_id").alias("entity_id"), F.min("block").alias("block")
     )
-    nodes = space.keep(signed.select("entity", "entity_id", "block", F.min("entity").over(Window.partitionBy("x", "s")).alias("node")))
+    signed = space.keep(signed)
+    nodes = space.keep(signed.join(signed.groupBy("x", "s").agg(F.min("entity").alias("node")), ["x", "s"]).select("entity", "entity_id", "block", "node"))
     weights = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     borne = canons.join(nodes.where("entity = node").select("entity"), "entity").select(F.col("entity").alias("node"), "name_id")
     borne = space.keep(borne)

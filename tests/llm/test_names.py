@@ -61,11 +61,19 @@ def test_empty_long_and_equal(spark):
     assert sorted(map(len, found)) == [2, 2, 60]
 
 
-def test_large_components_are_parted(spark, monkeypatch):
+def test_large_components_lose_no_link(spark, monkeypatch):
+    given = [("1", "v", ["William Thornbridge"]), ("2", "v", ["William Thornbrige", "Will Thornbridge"]), ("3", "v", ["W. Thornbridge"]), ("4", "v", ["Bill Thornbridge", "B. T."]), ("5", "v", ["Anna Bellweather"]), ("6", "v", ["Thornbridge William"]), ("7", "v", ["Wiliam Thornbridge"])]
     monkeypatch.setattr(N, "LARGEST_COMPONENT", 3)
-    given = [("1", "v", ["William Thornbridge"]), ("2", "v", ["William Thornbrige", "Will Thornbridge"]), ("3", "v", ["W. Thornbridge"]), ("4", "v", ["Bill Thornbridge", "B. T."]), ("5", "v", ["Anna Bellweather"])]
-    found = clusters(spark, given)
-    assert sorted(itertools.chain(*found)) == ["1", "2", "3", "4", "5"] and ["5"] in found
+    assert clusters(spark, given) == [["1", "2", "3", "4", "6", "7"], ["5"]]
+
+
+def test_a_form_of_two_bearers_does_not_join_them(spark):
+    """An initial, a family name alone and a short form of two given names stand between two bearers, who stay apart."""
+    forms = [("Christopher", "Chris"), ("Christina", "Chris")]
+    for between in ("C. Thornbridge", "Thornbridge", "Chris Thornbridge"):
+        given = [("1", "v", ["Christopher Thornbridge"]), ("2", "v", [between]), ("3", "v", ["Christina Thornbridge"])]
+        found = {r.entity_id: r.cluster_id for r in N.linked_entities(named(spark, given), forms).collect()}
+        assert found["1"] != found["3"] and found["2"] in (found["1"], found["3"]), between
 
 
 def test_cosine_join_against_all_pairs(spark):
