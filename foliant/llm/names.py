@@ -221,9 +221,9 @@ def similarity(cosine: float) -> float:
     return cosine ** (1 / 3)
 
 
-def cosine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    return float(a[1][i] @ b[1][j])
+def cosine(a: dict[int, float], b: dict[int, float]) -> float:
+    """Of two unit vectors by their features."""
+    return sum(a[k] * b[k] for k in a.keys() & b.keys())
 
 
 def canonical_names(names: DataFrame) -> DataFrame:
@@ -321,22 +321,24 @@ def similar_names(distinct: DataFrame, forms: dict[str, frozenset[str]], space:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, forms, common = shared.value
         memo: dict[tuple[str, str, bool], float] = {}
-        full: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        full: dict[str, dict[int, float]] = {}
 
-        def vector(canon: str) -> tuple[np.ndarray, np.ndarray]:
+        def vector(canon: str) -> dict[int, float]:
             if canon not in full:
-                full[canon] = weighted(gram_buckets(tuple(canon.split(" ")), forms, common), idf)
+                keys, values = weighted(gram_buckets(tuple(canon.split(" ")), forms, common), idf)
+                full[canon] = dict(zip(keys.tolist(), values.tolist()))
             return full[canon]
 
         for batch in batches:
             if len(memo) > 500_000:
                 memo.clear()
-            if len(full) > 20_000:
+            if len(full) > 50_000:
                 full.clear()
             sims = [likeness(tuple(x.split(" ")), tuple(y.split(" ")), forms, kind == "organization", memo) for kind, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            for i in np.flatnonzero(np.array(sims) > 0).tolist():
-                near = cosine(vector(batch.column(3)[i].as_py()), vector(batch.column(4)[i].as_py()))
-                sims[i] = similarity(min(near, 1.0)) if near >= min_cosine else 0.0
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                if sims[i] > 0:
+                    near = cosine(vector(x), vector(y))
+                    sims[i] = similarity(min(near, 1.0)) if near >= min_cosine else 0.0
             done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
             yield done.filter(pa.array([s > 0 for s in sims], pa.bool_()))
 
