@@ -64,20 +64,32 @@ def _is_middle(kept: list[str]) -> bool:
     return len(kept) == 3 and len(kept[0]) > 1
 
 
-def short_forms(forms: list[tuple[str, str]]) -> dict[str, frozenset[str]]:
+def short_forms(forms: list[tuple[str, str]]) -> ShortForms:
     """From every given name and short form to the given names it may stand for."""
     found: dict[str, set[str]] = defaultdict(set)
     for given, short in forms:
         if given and short:
             found[plain(short)].add(plain(given))
             found[plain(given)].add(plain(given))
-    return {k: frozenset(v) for k, v in found.items()}
+    return ShortForms({k: frozenset(v) for k, v in found.items()})
 
 
 def edits(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance (swaps of neighbours count one), ``most + 1`` if it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    end -= start
+    tail = 0
+    while tail < end and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[start : len(a) - tail], b[start : len(b) - tail]  # what both begin and end with needs no edit
+    if not a or not b:
+        return max(len(a), len(b))
+    if len(a) == len(b) == 1:
+        return 1
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, before, row = before, row, [i]
@@ -96,7 +108,29 @@ def _subsequence(a: str, b: str) -> bool:
     return all(c in it for c in a)
 
 
-def token_likeness(a: str, b: str, forms: dict[str, frozenset[str]], organization: bool) -> float:
+class ShortForms(dict):
+    """The names that a short form or name may stand for; also those that a token one edit off may, kept once found."""
+
+    def __init__(self, found: dict[str, frozenset[str]]):
+        super().__init__(found)
+        self.by_start: dict[tuple[str, int], list[str]] = defaultdict(list)
+        for form in found:
+            self.by_start[form[0], len(form)].append(form)
+        self.meant: dict[str, frozenset[str]] = {}
+
+
+def _meant(token: str, forms: ShortForms) -> frozenset[str]:
+    known = forms.meant.get(token)
+    if known is None:
+        near = (s for n in (-1, 0, 1) for s in forms.by_start.get((token[0], len(token) + n), ()) if edits(s, token, 1) <= 1)
+        known = frozenset().union(*(forms[s] for s in near))
+        if len(forms.meant) > 200_000:
+            forms.meant.clear()
+        forms.meant[token] = known
+    return known
+
+
+def token_likeness(a: str, b: str, forms: ShortForms, organization: bool) -> float:
     if a == b:
         return 1.0
     if len(a) > len(b):
@@ -126,14 +160,12 @@ def token_likeness(a: str, b: str, forms: dict[str, frozenset[str]], organizatio
                 for g in forms.get(y, ()):
                     if edits(x, g, 1) <= 1:
                         return 0.8
-                if y in forms:
-                    near = [s for s in forms if abs(len(s) - len(x)) <= 1 and s[0] == x[0] and edits(s, x, 1) <= 1]
-                    if any(forms[s] & forms[y] for s in near):
-                        return 0.8
+                if y in forms and not forms[y].isdisjoint(_meant(x, forms)):
+                    return 0.8
     return 0.0
 
 
-def likeness(a: tuple[str, ...], b: tuple[str, ...], forms: dict[str, frozenset[str]], organization: bool, memo: dict | None = None) -> float:
+def likeness(a: tuple[str, ...], b: tuple[str, ...], forms: ShortForms, organization: bool, memo: dict | None = None) -> float:
     """How well two names' tokens agree; 0 if a token of the shorter name has no counterpart in the longer.
 
     ``memo`` keeps what was found for pairs of tokens.
@@ -145,6 +177,7 @@ def likeness(a: tuple[str, ...], b: tuple[str, ...], forms: dict[str, frozenset[
     if not a:
         return 0.0
     memo = {} if memo is None else memo
+    forms = forms if isinstance(forms, ShortForms) else ShortForms(forms)
     pairs = []
     for i, x in enumerate(a):
         reached = False
@@ -175,7 +208,7 @@ def likeness(a: tuple[str, ...], b: tuple[str, ...], forms: dict[str, frozenset[
     return max(total / len(a) - sum(0.02 if len(w) == 1 else 0.08 for w in spare), 0.0)
 
 
-def gram_buckets(tokens: tuple[str, ...], forms: dict[str, frozenset[str]], common: frozenset[str] = frozenset()) -> dict[int, int]:
+def gram_buckets(tokens: tuple[str, ...], forms: ShortForms, common: frozenset[str] = frozenset()) -> dict[int, int]:
     """Counts of hashed bigrams and trigrams of the padded tokens; short forms count as the names they stand for.
 
     N-grams of common tokens are features of their own, numbered from ``BUCKETS`` on.
@@ -258,7 +291,7 @@ def common_tokens(canons: DataFrame, forms: dict[str, frozenset[str]]) -> frozen
     return frozenset(r.token for r in often.collect()) | frozenset(forms)
 
 
-def _document_frequencies(canons: DataFrame, forms: dict[str, frozenset[str]], common: frozenset[str]) -> np.ndarray:
+def _document_frequencies(canons: DataFrame, forms: ShortForms, common: frozenset[str]) -> np.ndarray:
     """Inverse document frequencies of all features over all distinct names of all blocks."""
     last = 2 * BUCKETS
 
@@ -278,7 +311,7 @@ def _document_frequencies(canons: DataFrame, forms: dict[str, frozenset[str]], c
     return np.log((1.0 + counts[last]) / (1.0 + counts[:last])) + 1.0
 
 
-def similar_names(distinct: DataFrame, forms: dict[str, frozenset[str]], space: Workspace, min_cosine: float = MIN_COSINE) -> DataFrame:
+def similar_names(distinct: DataFrame, forms: ShortForms, space: Workspace, min_cosine: float = MIN_COSINE) -> DataFrame:
     """``(a, b, sim)`` with ``a < b``: ids of distinct names of one block whose cosine is ``min_cosine`` or more and whose tokens agree.
 
     There is no cap on partners; ``sim`` is the ``similarity`` of the cosine.
