@@ -10,14 +10,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_NORMAL = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
 def normal_ref(c) -> Column:
     """A reference in the notation of ids: no blanks or braces, lower case; empty means null.
 
-    UUIDs may also come as ``urn:uuid:…`` or without dashes; both become the dashed form.
+    UUIDs may also come as ``urn:uuid:…`` or without dashes; both become the dashed form.  What is in it already is only
+    looked at once.
     """
-    bare = F.regexp_replace(F.lower(F.regexp_replace(_col(c), r"[\s\p{Z}{}()\"']+", "")), "^urn:uuid:", "")
+    given = _col(c)
+    bare = F.regexp_replace(F.lower(F.regexp_replace(given, r"[\s\p{Z}{}()\"']+", "")), "^urn:uuid:", "")
     plain = F.regexp_replace(bare, "^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$", "$1-$2-$3-$4-$5")
-    return F.when(F.length(plain) > 0, plain)
+    return F.when(given.rlike(_NORMAL), given).when(F.length(plain) > 0, plain)
 
 
 def normal_digest(c) -> Column:
