@@ -19,6 +19,7 @@ from foliant.shared import Workspace, is_empty
 
 FOREST_LINKS = 400_000  # links that one task holds at a time
 TREE_NODES = 200_000  # nodes of a tree whose paths one task walks; larger trees take doubling joins
+PATH_IDS = 1_000_000  # ids in the paths of one tree that one task writes
 CYCLE, MISSING = "cycle", "missing"
 
 
@@ -169,8 +170,8 @@ def entity_paths(entities: DataFrame) -> DataFrame:
     """``(entity_id, root_id, depth, path)`` of every entity of a tree, roots with depth 0 included.
 
     ``path`` is an array of ids from the root down to the entity.  Entities of circles or with a missing end have no
-    path and no row.  A tree of up to ``TREE_NODES`` nodes is walked in one task; larger ones take joins that double
-    the length of every path until it reaches the root.
+    path and no row.  A tree of up to ``TREE_NODES`` nodes whose paths have up to ``PATH_IDS`` ids in all is walked in one
+    task; larger and deeper ones take joins that double the length of every path until it reaches the root.
     """
     space = Workspace(entities.sparkSession, "paths")
     valid = space.keep(valid_entities(entities))
@@ -178,7 +179,7 @@ def entity_paths(entities: DataFrame) -> DataFrame:
     below = linked.join(valid.select("entity_id", "parent"), "entity_id")
     tops = valid.where("parent is null").select("entity_id", F.col("entity_id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("parent"))
     nodes = space.keep(below.select("entity_id", "root_id", "depth", "parent").unionByName(tops))
-    size = nodes.groupBy("root_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE_NODES).select("root_id")
+    size = nodes.groupBy("root_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("depth") + 1).alias("ids")).where((F.col("n") > TREE_NODES) | (F.col("ids") > PATH_IDS)).select("root_id")
     large = space.keep(size)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +194,14 @@ def entity_paths(entities: DataFrame) -> DataFrame:
                 names=["entity_id", "root_id", "depth", "path"],
             )
 
-        root, rows = None, {}
+        root, rows, ids = None, {}, 0
         for batch in batches:
             for node, r, depth, parent in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if r != root and len(rows) >= 5_000:  # whole trees at a time
+                if r != root and (len(rows) >= 5_000 or ids >= 100_000):  # whole trees at a time
                     yield tree(rows)
-                    rows = {}
+                    rows, ids = {}, 0
                 root = r
+                ids += depth + 1
                 rows[node] = (r, parent, depth)
         if rows:
             yield tree(rows)

@@ -13,7 +13,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import uuid5
@@ -232,48 +232,23 @@ def evidence_links(owners: DataFrame, owner: str) -> DataFrame:
 def lifecycle(changes: DataFrame) -> DataFrame:
     """Relationship states from changes in narrative order.
 
-    ``changes``: ``(version_id, source_id, relation_type, target_id, chunk_ordinal, position, change, event_id)``.
-    Gives ``(version_id, source_id, relation_type, target_id, state_no, status, start_event_id, end_event_id)``: a
-    relationship that has ended is opened anew as the next state unless the same event ends it again; the first start
-    event stays.  Changes stream through their task sorted by key and place, so a key of any size needs no memory.
+    ``changes``: ``(version_id, source_id, relation_type, target_id, chunk_ordinal, position, change, event_id)``, in one
+    place the smaller event first.  Gives ``(version_id, source_id, relation_type, target_id, state_no, status,
+    start_event_id, end_event_id)``: a relationship that has ended is opened anew as the next state unless the same event
+    ends it again; the first start event stays.
     """
     keys = ["version_id", "source_id", "relation_type", "target_id"]
-    ordered = changes.repartition(*keys).sortWithinPartitions(*keys, "chunk_ordinal", "position")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, out = None, None, []
-
-        def close() -> None:
-            if state:
-                out.append((*now, state["no"], state["status"], state["start"], state["end"]))
-
-        def emit() -> pa.RecordBatch:
-            columns = list(zip(*out)) if out else [()] * 8
-            kinds = [pa.string()] * 4 + [pa.int32()] + [pa.string()] * 3
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*keys, "state_no", "status", "start_event_id", "end_event_id"])
-            out.clear()
-            return batch
-
-        for batch in batches:
-            for *key, change, event in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if key != now:
-                    close()
-                    now, state = key, None
-                again = state and state["status"] == "ended" and not (change == "ended" and state["end"] == event)
-                if state is None or again:
-                    number = state["no"] + 1 if state else 1
-                    close()
-                    state = {"no": number, "status": "active", "start": None, "end": None}
-                if change == "started" and state["start"] is None:
-                    state["start"] = event
-                if change == "ended":
-                    state["status"], state["end"] = "ended", event
-            yield emit()
-        close()
-        yield emit()
-
-    columns = ordered.select(*keys, "change", "event_id")
-    return columns.mapInArrow(run, "version_id string, source_id string, relation_type string, target_id string, state_no int, status string, start_event_id string, end_event_id string")
+    order = Window.partitionBy(*keys).orderBy("chunk_ordinal", "position", "event_id")
+    before, last = F.lag("change").over(order), F.lag("event_id").over(order)
+    again = (F.col("change") == "ended") & F.col("event_id").eqNullSafe(last)
+    opens = before.isNull() | ((before == "ended") & ~again)
+    states = changes.withColumn("__opens", F.coalesce(opens, F.lit(False)).cast("int")).withColumn("state_no", F.sum("__opens").over(order).cast("int"))
+    place = F.struct("chunk_ordinal", "position", "event_id")
+    at = lambda change: F.when((F.col("change") == change) & F.col("event_id").isNotNull(), place)
+    ended = F.bool_or(F.coalesce(F.col("change") == "ended", F.lit(False)))
+    return states.groupBy(*keys, "state_no").agg(
+        F.when(ended, "ended").otherwise("active").alias("status"), F.min(at("started")).getField("event_id").alias("start_event_id"), F.max(at("ended")).getField("event_id").alias("end_event_id")
+    )
 
 
 def lost_coverage(prior: DataFrame, current: DataFrame) -> DataFrame:

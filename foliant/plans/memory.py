@@ -13,7 +13,8 @@ from foliant.functions import text as X
 from foliant.operators import memory as K
 from foliant.operators import relational as L
 from foliant.plans.registry import Catalogue
-from foliant.plans.resolution import _CH, _MN, _roots, chapters, mentions
+from foliant.plans.changes_and_trees import _WALK
+from foliant.plans.resolution import _CH, _MN, _ROOTS, _roots, chapters, mentions
 from foliant.refs import normal_ref
 from foliant.tables import table
 
@@ -92,9 +93,15 @@ def k8_evidence_id(spark, d):
     return k.select("chunk_id", K.evidence_id().alias("evidence_id"))
 
 
-@_c.query()
+@_c.query(f"""WITH RECURSIVE {_WALK}, {_ROOTS}, {_MN}, placed AS (SELECT chunk_id, root_id, surface_text FROM mn JOIN roots ON roots.entity_id = mn.entity_id WHERE chunk_id IS NOT NULL),
+said AS (SELECT root_id, list_sort(list(DISTINCT surface_text))[1:{K.MOST_ALIASES + 1}] AS said FROM placed GROUP BY 1),
+ent AS (SELECT id AS root_id, nullif(arg_max(coalesce(canonical_name, ''), updated_at), '') AS name, arg_max(entity_type, updated_at) AS t FROM entities GROUP BY id),
+refs AS (SELECT root_id, coalesce(name, said[1]) AS name, t, list_filter(said, lambda x: x <> coalesce(name, ''))[1:{K.MOST_ALIASES}] AS aliases FROM ent JOIN said USING (root_id)),
+listed AS (SELECT chunk_id, string_agg(root_id || '=' || name || '/' || t || '/' || array_to_string(aliases, '|'), ';' ORDER BY root_id) AS entities FROM (SELECT DISTINCT chunk_id, root_id FROM placed) JOIN refs USING (root_id) GROUP BY 1)
+SELECT k.id AS chunk_id, entities FROM (SELECT DISTINCT id FROM chunks WHERE text IS NOT NULL) k LEFT JOIN listed ON listed.chunk_id = k.id""")
 def k1_chunk_inputs(spark, d):
-    return _inputs(spark, d).select("chunk_id", "evidence_id", F.to_json("entities").alias("entities"))
+    one = lambda e: F.concat(e["id"], F.lit("="), e["name"], F.lit("/"), e["type"], F.lit("/"), F.array_join(e["aliases"], "|"))
+    return _inputs(spark, d).select("chunk_id", F.array_join(F.transform("entities", one), ";").alias("entities"))
 
 
 @_c.query(f"WITH {_PAIRS} SELECT chunk_id, position, fact_type, reason FROM checked")
@@ -135,7 +142,12 @@ def changes(spark, d):
                        F.when(change != "asserted", F.concat_ws(":", "chunk_id", F.col("n").cast("string"))).alias("event_id"))
 
 
-@_c.query()
+@_c.query(f"""WITH {_PAIRS}, c AS (SELECT version_id, e1 AS source_id, 'works_for' AS relation_type, e2 AS target_id, chunk_ordinal, n, CASE o % 3 WHEN 0 THEN 'started' WHEN 1 THEN 'ended' ELSE 'asserted' END AS change,
+  CASE WHEN o % 3 < 2 THEN pr.chunk_id || ':' || n END AS event_id FROM pr JOIN place USING (chunk_id) WHERE e1 <> e2),
+f AS (SELECT *, row_number() OVER w AS i, lag(change) OVER w AS pc, lag(event_id) OVER w AS pe FROM c WINDOW w AS (PARTITION BY version_id, source_id, target_id ORDER BY chunk_ordinal, n, event_id NULLS FIRST)),
+s AS (SELECT *, sum(CASE WHEN pc IS NULL OR (pc = 'ended' AND NOT (change = 'ended' AND event_id IS NOT DISTINCT FROM pe)) THEN 1 ELSE 0 END) OVER (PARTITION BY version_id, source_id, target_id ORDER BY i) AS state_no FROM f)
+SELECT version_id, source_id, relation_type, target_id, state_no::INTEGER AS state_no, CASE WHEN bool_or(change = 'ended') THEN 'ended' ELSE 'active' END AS status, arg_min(event_id, i) FILTER (change = 'started') AS start_event_id,
+arg_max(event_id, i) FILTER (change = 'ended') AS end_event_id FROM s GROUP BY ALL""")
 def k7_lifecycle(spark, d):
     return K.lifecycle(changes(spark, d))
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import inference as N
-from foliant.operators.models import embed_column
+from foliant.operators.models import Letters, embed_column
+from foliant.plans.deliveries import CH
 from foliant.plans.registry import Catalogue
 from foliant.plans.resolution import _CA, _MN, candidates, chapters, mentions
+from foliant.plans.structuring import _S, _W
 from foliant.shared import Workspace
 from foliant.sources import readers as R
 from foliant.sources import sinks as W
@@ -112,17 +114,32 @@ def _chunks(spark, d):
     return table(spark, d, "chunks").where("text is not null").select(F.col("id").alias("chunk_id"), "text").distinct()
 
 
-@_c.query()
+_LETTERS = "[" + ", ".join(f"length(text) - length(replace(text, '{chr(97 + i)}', ''))" for i in range(26)) + "]"
+
+
+@_c.query(f"""SELECT id AS chunk_id, 26::INTEGER AS dimensions, round((CASE WHEN n > 0 THEN x[1] / n ELSE 0 END)::FLOAT::DOUBLE, 5) AS first, round((CASE WHEN n > 0 THEN x[5] / n ELSE 0 END)::FLOAT::DOUBLE, 5) AS fifth
+FROM (SELECT *, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM (SELECT DISTINCT id, {_LETTERS} AS x FROM chunks WHERE text IS NOT NULL))""")
 def d1_embedded(spark, d):
-    return _chunks(spark, d).select("chunk_id", embed_column(F.col("text")).alias("v")).select("chunk_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length"))
+    vectors = _chunks(spark, d).select("chunk_id", embed_column(F.col("text"), Letters).alias("v"))
+    at = lambda i: F.round(F.col("v")[i].cast("double"), 5)
+    return vectors.select("chunk_id", F.size("v").alias("dimensions"), at(0).alias("first"), at(4).alias("fifth"))
+
+
+#: Capital words that do not begin a sentence, with where they stand.
+_CAPITALS = r"""tile AS (SELECT chunk_id, text, u.i, t[u.i] AS t FROM (SELECT DISTINCT id AS chunk_id, text, regexp_extract_all(text, '[^\p{L}\p{Nl}\p{No}]*[\p{L}\p{Nl}\p{No}]+') AS t FROM chunks WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS u(i)),
+word AS (SELECT chunk_id, text, regexp_extract(t, '[\p{L}\p{Nl}\p{No}]+$') AS w, sum(length(t)) OVER (PARTITION BY chunk_id, text ORDER BY i) AS b FROM tile),
+capital AS (SELECT chunk_id, text, w, (b - length(w))::INTEGER AS a, b::INTEGER AS b FROM word WHERE regexp_matches(w, '^\p{Lu}') AND b - length(w) > 1 AND substr(text, (b - length(w))::INTEGER, 1) = ' '
+  AND substr(text, (b - length(w))::INTEGER - 1, 1) NOT IN ('.', '!', '?', '”', '"', '’', chr(39)))"""
 
 
-@_c.query()
+@_c.query(f"""WITH {_CAPITALS}, cut AS (SELECT DISTINCT chunk_id, w, string_split(text, w) AS parts FROM capital)
+SELECT DISTINCT chunk_id, w AS surface_text, 'character' AS entity_type, a AS start_offset, (a + length(w))::INTEGER AS end_offset, true AS found FROM (
+  SELECT chunk_id, w, (list_sum(list_transform(parts[1:u.i], lambda p: length(p))) + (u.i - 1) * length(w))::INTEGER AS a FROM cut, unnest(range(1, len(parts))) AS u(i))""")
 def d3_extracted(spark, d):
     return N.extracted_mentions(_chunks(spark, d), N.CapitalWords)
 
 
-@_c.query()
+@_c.query(f"WITH {_CAPITALS} SELECT DISTINCT chunk_id, w AS surface_text, 'character' AS entity_type, a AS start_offset, b AS end_offset, true AS valid FROM capital")
 def d4_model_spans(spark, d):
     return N.model_spans(_chunks(spark, d), N.CapitalWords)
 
@@ -135,6 +152,9 @@ def d5_decided_pairs(spark, d):
     return N.decided_pairs(pairs, N.EqualNames).select("id", "decision")
 
 
-@_c.query()
+@_c.query(rf"""WITH {CH}, tile AS (SELECT chapter_id, u.i, t[u.i] AS t FROM (SELECT chapter_id, regexp_extract_all(chapter_text, '[{_S}]*(?:[{_W}]+|[^{_W}{_S}])') AS t FROM ch WHERE chapter_text IS NOT NULL), unnest(range(1, len(t) + 1)) AS u(i)),
+tok AS (SELECT chapter_id, i - 1 AS i, (i - 1) // 800 AS w, regexp_replace(t, '^[{_S}]+', '') AS t, sum(length(t)) OVER (PARTITION BY chapter_id ORDER BY i) AS b FROM tile),
+many AS (SELECT *, min(i) OVER (PARTITION BY chapter_id, w, t) AS first FROM tok WHERE regexp_matches(t, '^\p{{Lu}}') QUALIFY count(*) OVER (PARTITION BY chapter_id, w, t) > 1)
+SELECT chapter_id, (b - length(t))::INTEGER || '-' || b::INTEGER AS span, (b - length(t))::INTEGER AS start_offset, b::INTEGER AS end_offset, w || ':' || (dense_rank() OVER (PARTITION BY chapter_id, w ORDER BY first) - 1) AS cluster FROM many""")
 def d6_coreference(spark, d):
     return N.coreference_memberships(chapters(spark, d), N.CapitalWords)

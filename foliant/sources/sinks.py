@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import all_finite
+from foliant.shared import Workspace
 
 #: The fields of the chunk index.
 INDEX_SCHEMA = T.StructType(
@@ -77,10 +78,13 @@ def replace_in_index(chunks: DataFrame, path: str, embedding_version: str, dimen
     bad = F.col("project_id").isNull() | F.col("version_id").isNull() | F.col("chunk_id").isNull()
     bad = bad | ~F.coalesce(F.col("embedding_version") == embedding_version, F.lit(False))
     bad = bad | ~F.coalesce(F.size("embedding") == dimensions, F.lit(False)) | ~all_finite("embedding")
-    refused = chunks.where(bad).count()
+    space = Workspace(chunks.sparkSession, "index")  # the rows are made once, whatever model makes their vectors
+    staged = space.keep(chunks.withColumn("__bad", bad))
+    refused = staged.where("__bad").count()
     if refused:
+        space.drop(staged)
         raise ValueError(f"{refused} rows do not fit the index")
-    rows = chunks.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX_SCHEMA))
+    rows = staged.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX_SCHEMA))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCOPE).parquet(path)
 
 

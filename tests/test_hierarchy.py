@@ -61,9 +61,10 @@ def test_random_forests_in_small_shares(spark, monkeypatch, held):
     assert {r.entity_id: (r.root_id, r.depth) for r in H.entity_roots(entities(spark, links)).collect()} == brute(links)
 
 
-@pytest.mark.parametrize("tree", [2, 10**6])
-def test_paths_and_descendants(spark, monkeypatch, tree):
+@pytest.mark.parametrize("tree,ids", [(2, 10**6), (10**6, 100), (10**6, 10**6)])
+def test_paths_and_descendants(spark, monkeypatch, tree, ids):
     monkeypatch.setattr(H, "TREE_NODES", tree)
+    monkeypatch.setattr(H, "PATH_IDS", ids)
     chain = [("n00", None)] + [(f"n{i:02d}", f"n{i - 1:02d}") for i in range(1, 40)] + [("x", "nowhere"), ("y", "y"), ("z", None)]
     paths = H.entity_paths(entities(spark, chain)).collect()
     found = {r.entity_id: r.path for r in paths}
