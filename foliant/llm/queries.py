@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.bpe import encode_corpus, token_counts
@@ -53,6 +53,19 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(scenes, "scene_id", "text", "start_offset")
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every scene put together again from its pieces, and how many of them are too long or overlap by another length."""
+    pieces = p6_pieces(spark, d)
+    before = F.lag("end_offset").over(Window.partitionBy("scene_id").orderBy("piece_no"))
+    part = F.substring("text", (F.coalesce(F.col("before") - F.col("start_offset"), F.lit(0)) + 1).cast("int"), F.length("text"))
+    rows = pieces.withColumn("before", before).withColumn("part", part)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "part"))), lambda p: p["part"]), "")
+    return rows.groupBy("scene_id").agg(
+        F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"), F.sha2(whole, 256).alias("digest"), F.count_if(F.length("text") > 2400).alias("too_long"),
+        F.count_if(F.col("before") - F.col("start_offset") != 240).alias("wrong_overlaps"),
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 1").select("scene_id")
 
@@ -89,7 +102,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_clusters, p5_found, p5_report, p6_pieces, p6_found, p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_clusters, p5_found, p5_report, p6_pieces, p6_whole, p6_found, p7_ids, p7_token_counts, p8_mixture, p8_shares, p9_languages, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
