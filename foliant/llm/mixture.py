@@ -52,8 +52,9 @@ def repetition_rates(targets: list[tuple[str, float, int, int, int]], total: flo
 
 
 def counted_documents(docs: DataFrame, space: Workspace, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """A written table ``(doc_id, source, n_tokens)``; sources in lower case without blanks."""
-    return space.keep(token_counts(docs.select("doc_id", normal_word("source").alias("source"), "text"), ["doc_id", "source"], "text", tokenizer))
+    """A written table ``(doc_id, source, lot, n_tokens)``; sources in lower case without blanks, ``lot`` a hash of id and text."""
+    rows = docs.select("doc_id", normal_word("source").alias("source"), F.xxhash64("doc_id", "text").alias("lot"), "text")
+    return space.keep(token_counts(rows, ["doc_id", "source", "lot"], "text", tokenizer))
 
 
 def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
@@ -85,9 +86,10 @@ def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
 def mixture(counted: DataFrame, rates: DataFrame, seed: int = 8) -> DataFrame:
     """Rows ``(doc_id, source, n_tokens, copy_no)``: every use of a document in the mixture, copies from 1.
 
-    A document with a null or unlisted source has no use.  Rows that repeat a document are separate documents.
+    A document with a null or unlisted source has no use.  Rows that repeat a document are separate documents.  The draw
+    follows from id and text, so documents without an id have draws of their own; only equal rows share one.
     """
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("lot", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     copies = whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)
     used = counted.join(F.broadcast(rates.select("source", "rate")), "source").withColumn("__n", copies.cast("long"))

@@ -38,6 +38,11 @@ def test_shares_are_reached(spark):
     assert sorted(uses) == sorted(again)
 
 
+def test_documents_without_an_id_draw_apart(spark):
+    uses, report = mixed(spark, [(None, "a", f"one two {i}") for i in range(400)] + [(i, "b", f"one two {i}") for i in range(400)], [("a", 0.75, 4), ("b", 0.25, 4)])
+    assert report["a"].reached_share == pytest.approx(0.75, abs=0.03)
+
+
 def test_caps_and_dirt(spark):
     uses, report = mixed(spark, [(1, "a", "x y z"), (2, "b", "x y z " * 50), (2, "b", "x y z " * 50)], [("a", 0.9, 2), ("b", 0.1, 5), ("c", None, None), (None, 1.0, 1), ("a", -1.0, None)])
     assert report["a"].most_uses == 2 and sum(u.doc_id == 1 for u in uses) == 2 and report["c"].rate == 0
