@@ -29,6 +29,7 @@ SYMMETRIC = {"spouse_of", "sibling_of", "friend_of", "enemy_of"}
 VERB_PREFIXES = ("has_", "is_", "was_", "became_")
 ACTORS, PLACES, EITHER = {"character", "organization", "vehicle"}, {"gpe", "location"}, "facility"
 ROLES_FROM_TEXT = {"movement", "accident"}
+MOST_EVIDENCE = 8
 MOST_ALIASES = 50
 
 _words = re.compile(r"[^\W_]+").findall
@@ -182,13 +183,21 @@ def validated(chunks: DataFrame) -> DataFrame:
 
     ``entities``: array of structs ``(id, name, type, aliases)``; ``proposed``: JSON of the three lists.  Accepted
     items come as JSON with their position within the chunk, refused ones as rows with a reason and no item.
+
+    With a column ``evidence``, an array of structs ``(id, text)``, that is what may be cited, in place of the chunk's one
+    text; more than ``MOST_EVIDENCE`` blocks or an id that comes twice fail the call.
     """
+    several = "evidence" in chunks.columns
+    blocks = F.col("evidence") if several else F.array(F.struct(F.col("evidence_id").alias("id"), F.col("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for chunk, evidence_id, text, entities, proposed in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                good, reasons = validate(json.loads(proposed or "{}"), entities or [], {evidence_id: text or ""})
+            for chunk, given, entities, proposed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                evidence = {e["id"]: e["text"] or "" for e in given or ()}
+                if len(evidence) < len(given or ()) or len(evidence) > MOST_EVIDENCE:
+                    raise ValueError(f"chunk {chunk} has evidence twice or more than {MOST_EVIDENCE} blocks of it")
+                good, reasons = validate(json.loads(proposed or "{}"), entities or [], evidence)
                 for plural, items in good.items():
                     rows += [(chunk, i, plural[:-1], json.dumps(x, sort_keys=True, ensure_ascii=False), None) for i, x in enumerate(items)]
                 rows += [(chunk, i, r.split(":")[0], None, r) for i, r in enumerate(reasons)]
@@ -196,7 +205,7 @@ def validated(chunks: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk_id", "position", "kind", "item", "reason"])
 
-    return chunks.select("chunk_id", "evidence_id", "text", "entities", "proposed").mapInArrow(run, "chunk_id string, position int, kind string, item string, reason string")
+    return chunks.select("chunk_id", blocks.alias("evidence"), "entities", "proposed").mapInArrow(run, "chunk_id string, position int, kind string, item string, reason string")
 
 
 def evidence_id(version: str = "version_id", chapter: str = "chapter_id", chunk: str = "chunk_id", start: str = "start_offset", text: str = "text") -> Column:

@@ -206,3 +206,14 @@ def applied_in_order(decisions: DataFrame, entities: DataFrame) -> DataFrame:
 def state_of(entities: DataFrame, *ids: str) -> Column:
     """A struct of an entity row's link and status, for the snapshots before and after a decision."""
     return F.struct("entity_id", "merged_into_id", "status", *ids)
+
+
+def snapshots(audit: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(candidate_id, before, after)``: what each merge of ``applied_in_order`` did to the entity that it retired.
+
+    ``entities``: ``(entity_id, merged_into_id, status)`` as they stood before; both columns are structs of those fields.
+    """
+    merged = audit.where("outcome = 'merged'").select("candidate_id", F.col("retired_id").alias("entity_id"), "survivor_id")
+    was = merged.join(entities, "entity_id").withColumn("before", state_of(entities))
+    after = was.withColumn("merged_into_id", F.col("survivor_id")).withColumn("status", F.lit("merged"))
+    return after.select("candidate_id", "before", state_of(entities).alias("after"))

@@ -13,7 +13,7 @@ from foliant.operators import checks as C
 from foliant.operators import evaluation as V
 from foliant.operators.inference import decided_pairs
 from foliant.operators.mentions import verified
-from foliant.operators.resolution import same_cluster
+from foliant.operators.resolution import same_cluster, with_evidence
 from foliant.plans.registry import Catalogue
 from foliant.plans.relational import _QRELS, _qrels
 from foliant.plans.resolution import _BLOCK, _CA, _CH, _MEMB, _MN, _SRC, _blocked, candidates, chapters, clustered_mentions, mentions
@@ -239,6 +239,25 @@ def chk_orphans(spark, d):
     return reduce(lambda a, b: a.unionByName(b), counts)
 
 
+@_c.query("""SELECT unnest(['starts_in_scene', 'ends_in_scene', 'text_is_of_scene']) AS rule, unnest([count(*) FILTER (NOT coalesce(k.start_offset >= s.start_offset, false)), count(*) FILTER (NOT coalesce(k.end_offset <= s.end_offset, false)),
+  count(*) FILTER (NOT coalesce(k.text = substr(s.text, k.start_offset - s.start_offset + 1, k.end_offset - k.start_offset), false))])::BIGINT AS n
+FROM (SELECT DISTINCT id, scene_id, start_offset, end_offset, text FROM chunks) k JOIN (SELECT DISTINCT id, start_offset, end_offset, text FROM scenes) s ON s.id = k.scene_id""")
+def chk_chunks_in_scenes(spark, d):
+    """A chunk lies in its scene and holds the scene's text between its offsets."""
+    k = table(spark, d, "chunks").select("id", "scene_id", F.col("start_offset").alias("a"), F.col("end_offset").alias("b"), F.col("text").alias("held")).distinct()
+    s = table(spark, d, "scenes").select(F.col("id").alias("scene_id"), "start_offset", "end_offset", "text").distinct()
+    cut = F.substring("text", (F.col("a") - F.col("start_offset") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int"))
+    rules = {"starts_in_scene": F.col("a") >= F.col("start_offset"), "ends_in_scene": F.col("b") <= F.col("end_offset"), "text_is_of_scene": F.col("held") == cut}
+    return C.violations(k.join(s, "scene_id"), rules)
+
+
+@_c.query(f"""WITH {_CH}, {_MN}, e AS (SELECT greatest(0, start_offset - 500) AS a, least(length(chapter_text), end_offset + 500) AS b, chapter_text, surface_text FROM mn JOIN ch USING (chapter_id, version_id) WHERE chapter_text IS NOT NULL)
+SELECT unnest(['length_is_span', 'holds_surface']) AS rule, unnest([count(*) FILTER (length(substr(chapter_text, a + 1, b - a)) <> b - a), count(*) FILTER (NOT contains(substr(chapter_text, a + 1, b - a), surface_text))])::BIGINT AS n FROM e""")
+def chk_evidence_lengths(spark, d):
+    rows = with_evidence(mentions(spark, d), chapters(spark, d).where("chapter_text is not null"))
+    return C.violations(rows, {"length_is_span": F.length("evidence_text") == F.col("evidence_end") - F.col("evidence_start"), "holds_surface": F.col("evidence_text").contains(F.col("surface_text"))})
+
+
 @_c.query("SELECT id, count(*)::BIGINT AS n FROM scenes GROUP BY id HAVING count(*) > 1")
 def chk_repeated_scenes(spark, d):
     return C.repeated(table(spark, d, "scenes"), ["id"])

@@ -241,7 +241,21 @@ def j19_separations_inside(spark, d):
     return named.where(apart).where(inside).select("candidate_id")
 
 
-@_c.query()
+_APPLIED = f"""{_SRC}, asked AS (SELECT DISTINCT ca.version_id, ca.created_at, ca.id AS cid, applied_decision AS d, a.entity_id AS l, b.entity_id AS r, llm_decision, error_code FROM ca JOIN src a ON a.id = ca.l JOIN src b ON b.id = ca.r
+  WHERE applied_decision IS NOT NULL AND a.entity_id IS NOT NULL AND b.entity_id IS NOT NULL),
+said AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY created_at, cid) AS k FROM asked),
+ent AS (SELECT id, arg_max(manuscript_version_id, updated_at) AS v, arg_max(coalesce(canonical_name, ''), updated_at) AS name FROM entities GROUP BY id),
+held AS (SELECT v, map_from_entries(list({{'k': id, 'v': id}})) AS m FROM ent GROUP BY v),
+step AS (SELECT v, 0::BIGINT AS k, m, []::VARCHAR[][] AS apart, NULL::VARCHAR AS cid, NULL::VARCHAR AS outcome, NULL::VARCHAR AS survivor, NULL::VARCHAR AS retired FROM held
+  UNION ALL SELECT v, k, CASE WHEN outcome = 'merged' THEN map_from_entries(list_transform(map_entries(m), lambda e: {{'k': e.key, 'v': CASE WHEN e.value = retired THEN survivor ELSE e.value END}})) ELSE m END,
+    CASE WHEN outcome = 'separated' THEN list_append(apart, [l, r]) ELSE apart END, cid, outcome, CASE WHEN outcome = 'merged' THEN survivor WHEN outcome = 'linked' THEN a END, CASE WHEN outcome = 'merged' THEN retired END
+  FROM (SELECT *, CASE WHEN first THEN a ELSE b END AS survivor, CASE WHEN first THEN b ELSE a END AS retired, CASE WHEN a IS NULL OR b IS NULL THEN 'conflict' WHEN d = 'keep_separate' THEN CASE WHEN a <> b THEN 'separated' ELSE 'conflict' END
+      WHEN d <> 'merge' THEN 'conflict' WHEN a = b THEN 'linked' WHEN len(list_filter(apart, lambda p: list_sort([m[p[1]], m[p[2]]]) = list_sort([a, b]))) > 0 THEN 'conflict' ELSE 'merged' END AS outcome
+    FROM (SELECT x.*, (length(na.name), nb.id) > (length(nb.name), na.id) AS first FROM (SELECT step.v, said.k, m, apart, said.cid, said.d, said.l, said.r, m[said.l] AS a, m[said.r] AS b FROM step JOIN said ON said.version_id = step.v AND said.k = step.k + 1) x
+      LEFT JOIN ent na ON na.id = a LEFT JOIN ent nb ON nb.id = b)))"""
+
+
+@_c.query(f"WITH RECURSIVE {_APPLIED} SELECT v AS version_id, cid AS candidate_id, k AS position, outcome, survivor AS survivor_id, retired AS retired_id FROM step WHERE k > 0")
 def e6_applied_in_order(spark, d):
     order = Window.partitionBy("version_id").orderBy("created_at", "candidate_id")
     said = _proposals(spark, d).where("applied_decision is not null").select("version_id", F.row_number().over(order).cast("long").alias("position"), "candidate_id", F.col("applied_decision").alias("decision"), "left_entity_id", "right_entity_id")
@@ -320,12 +334,12 @@ def e10_attempts(spark, d):
     return E.outcome_counts(rows, "version_id").join(last, "version_id")
 
 
-@_c.query(f"WITH RECURSIVE {_WALK} SELECT id AS entity_id, nullif(up, '') AS merged_into_id, CASE WHEN up = '' THEN 'root' ELSE 'linked' END AS state FROM valid")
+@_c.query(f"""WITH RECURSIVE {_APPLIED} SELECT cid AS candidate_id, retired AS entity_id, s.status AS status_before, survivor AS merged_into_after, 'merged' AS status_after
+FROM step JOIN (SELECT id, arg_max(status, updated_at) AS status FROM entities GROUP BY id) s ON s.id = retired WHERE outcome = 'merged'""")
 def e11_snapshot(spark, d):
-    from foliant.operators.hierarchy import valid_entities
-
-    rows = valid_entities(table(spark, d, "entities")).select("entity_id", F.col("parent").alias("merged_into_id"), F.when(F.col("parent").isNull(), "root").otherwise("linked").alias("status"))
-    return rows.select(E.state_of(rows).alias("s")).select("s.entity_id", "s.merged_into_id", F.col("s.status").alias("state"))
+    known = table(spark, d, "entities").groupBy(F.col("id").alias("entity_id")).agg(F.max_by("status", "updated_at").alias("status"))
+    taken = E.snapshots(e6_applied_in_order(spark, d), known.withColumn("merged_into_id", F.lit(None).cast("string")))
+    return taken.select("candidate_id", "before.entity_id", F.col("before.status").alias("status_before"), F.col("after.merged_into_id").alias("merged_into_after"), F.col("after.status").alias("status_after"))
 
 
 @_c.query(f"""WITH {_CA} SELECT id, row_number() OVER (ORDER BY error_code IS NOT NULL, created_at, id)::INTEGER AS place FROM (SELECT id, max(error_code) AS error_code, max(created_at) AS created_at FROM ca WHERE applied_decision IS NULL GROUP BY id)

@@ -116,3 +116,14 @@ def test_coverage_and_supersession(spark):
     assert rows(K.lost_coverage(frame(spark, c, [("v", "1"), ("v", "2")]), frame(spark, c, [("v", "1"), ("w", "2")]))) == [("v", "2")]
     facts = frame(spark, "version_id string, run_id string, status string", [("v", "r1", "active"), ("v", "r2", "active")])
     assert rows(K.superseded(facts, frame(spark, "version_id string, run_id string", [("v", "r2")]))) == [("v", "r1", "superseded"), ("v", "r2", "active")]
+
+
+def test_several_evidence_blocks(spark):
+    chunk = "chunk_id string, entities array<struct<id:string,name:string,type:string,aliases:array<string>>>, proposed string, evidence array<struct<id:string,text:string>>"
+    fact = '{"facts": [{"subject_text": "a", "predicate": "stands_near", "object_text": "b", "fact_type": "state", "evidence_ids": %s}]}'
+    rows_ = [("k", [], fact % '["x", "y"]', [("x", "one"), ("y", None)]), ("l", None, fact % '["z"]', [("x", "one")])]
+    found = {r.chunk_id: r.reason for r in K.validated(frame(spark, chunk, rows_)).collect()}
+    assert found == {"k": None, "l": "fact:invalid_evidence_id"}
+    for bad in ([("x", "1"), ("x", "2")], [(str(i), "t") for i in range(9)]):
+        with pytest.raises(Exception, match="evidence"):
+            K.validated(frame(spark, chunk, [("k", [], "{}", bad)])).collect()

@@ -157,7 +157,7 @@ def test_fences(spark):
 def test_all_documents_are_read_after_the_header(spark, tmp_path):
     docs = frame(spark, "doc_id long, title string", [(i, None if i == 3 else f"t{i}") for i in range(5)])
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert rows(storage.queries()["s6_all_rows_after_header"](spark, str(tmp_path)).orderBy("doc_id")) == rows(docs.orderBy("doc_id"))
+    assert rows(storage.queries()["s6_rows_after_header"](spark, str(tmp_path)).orderBy("doc_id")) == rows(docs.orderBy("doc_id"))
 
 
 def test_documents_with_several_marks_are_decoded(spark, tmp_path):
